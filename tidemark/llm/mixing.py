@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from .common import WORD, written
 
 BINS = 4096
+FEW = 20_000  # sources up to which a row for each is broadcast
 
 
 def targets(sources: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
@@ -46,7 +47,8 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int
         .withColumn("total", total)
         .withColumn("ratio", F.col("limit") / F.col("weight"))
         .withColumn("at", level)
-        .withColumn("level", F.min(F.when(F.col("at") < F.col("ratio"), F.col("at"))).over(Window.partitionBy()))
+        .withColumn("nth", F.row_number().over(by_ratio))
+        .withColumn("level", F.min(F.when(F.col("at") < F.col("ratio"), F.struct("nth", "at"))).over(Window.partitionBy())["at"])
         .select("source", "source_size", F.when(F.col("level").isNull(), F.col("limit")).otherwise(F.least("limit", F.col("level") * F.col("weight"))).alias("target"))
     )
 
@@ -58,15 +60,16 @@ def mix_sources(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: in
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     aim = aim.withColumn("whole", F.floor(ratio)).withColumn("p", ratio - F.floor(ratio)).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
     aim = written(aim.select(F.col("source").alias("s"), "source_size", "target", "whole", "p", "rest"), "targets")
+    small = F.broadcast if aim.count() <= FEW else (lambda df: df)
     u = (F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
-    rows = sized.withColumn("u", u).join(aim, F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    rows = sized.withColumn("u", u).join(small(aim), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     odds = (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p")))
     rows = rows.withColumn("odds", F.when(F.col("p") > 0, odds)).withColumn("bin", F.when(F.col("p") > 0, F.floor(F.col("odds") / (1 + F.col("odds")) * BINS)).otherwise(0))
     per_bin = rows.groupBy(F.col("source").alias("b_source"), F.col("bin").alias("b_bin")).agg(F.sum("size").alias("words"), F.first("rest").alias("b_rest"))
     run = Window.partitionBy("b_source").orderBy("b_bin").rowsBetween(Window.unboundedPreceding, -1)  # BINS rows
     per_bin = per_bin.withColumn("ahead", F.coalesce(F.sum("words").over(run), F.lit(0)))
     cutting = per_bin.where((F.col("b_rest") > 0) & (F.col("ahead") <= F.col("b_rest")) & (F.col("ahead") + F.col("words") > F.col("b_rest"))).select(F.col("b_source").alias("c_source"), F.col("b_bin").alias("cut"), "ahead")
-    rows = rows.join(cutting, F.col("source").eqNullSafe(F.col("c_source")), "left").drop("c_source")
+    rows = rows.join(small(cutting), F.col("source").eqNullSafe(F.col("c_source")), "left").drop("c_source")
     rows = rows.withColumn("cut", F.coalesce("cut", F.lit(BINS + 1)))
     clear = rows.where(F.col("bin") != F.col("cut")).withColumn("more", (F.col("bin") < F.col("cut")) & (F.col("rest") > 0))
     within = Window.partitionBy("source").orderBy("odds", "doc_id", "tie", "size").rowsBetween(Window.unboundedPreceding, -1)
@@ -82,6 +85,13 @@ def sizes(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select("doc_id", "source", F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), F.crc32(text).alias("tie"), *more)
 
 
+def mixed(docs: DataFrame, **kw) -> DataFrame:
+    """docs, each row as often as the mix takes it."""
+    sized = sizes(docs.withColumn("whole_row", F.struct(*[F.col(f"`{c}`") for c in docs.columns])), "whole_row")
+    out = mix_sources(sized, **kw).where("copies > 0")
+    return out.select("whole_row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("whole_row.*")
+
+
 def digest(docs: DataFrame) -> DataFrame:
     sized = written(sizes(docs), "words")
     return mix_sources(sized).select("doc_id", "size", "source_size", F.round("target", 3).alias("target"), "taken")
@@ -93,8 +103,9 @@ WITH sized AS (
 per AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
 w AS (SELECT *, CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS DOUBLE) AS weight, CAST(3 * source_size AS DOUBLE) AS lim, CAST(sum(source_size) OVER () AS DOUBLE) AS total FROM per),
 lv AS (SELECT *, lim / weight AS ratio, (total - coalesce(sum(lim) OVER (ORDER BY lim / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
-  / sum(weight) OVER (ORDER BY lim / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS at_level FROM w),
-lev AS (SELECT *, min(CASE WHEN at_level < ratio THEN at_level END) OVER () AS level FROM lv),
+  / sum(weight) OVER (ORDER BY lim / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS at_level,
+  row_number() OVER (ORDER BY lim / weight, source NULLS LAST) AS nth FROM w),
+lev AS (SELECT *, arg_min(at_level, nth) FILTER (at_level < ratio) OVER () AS level FROM lv),
 aim AS (SELECT source, source_size, CASE WHEN level IS NULL THEN lim ELSE least(lim, level * weight) END AS target FROM lev),
 r AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS ratio FROM aim),
 aim2 AS (SELECT *, floor(ratio) AS whole, ratio - floor(ratio) AS p, target - floor(ratio) * source_size AS rest FROM r),

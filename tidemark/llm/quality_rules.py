@@ -120,5 +120,11 @@ def judged(docs: DataFrame, *keep: str, keep_at: float = 0.5, min_words: int = 2
     return df.withColumn("posterior", 1 / (1 + F.exp(-z))).withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("posterior") >= keep_at))
 
 
+def kept_docs(docs: DataFrame, **kw) -> DataFrame:
+    """docs that are kept, with all their columns; these travel as one, so no name can clash."""
+    rows = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole_row"))
+    return judged(rows, "whole_row", **kw).where("kept").select("whole_row.*")
+
+
 def digest(docs: DataFrame) -> DataFrame:
     return judged(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("posterior", 6).alias("posterior"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, quality_rules, resharding
+from . import decontaminate, mixing, ngram_join, quality_rules, resharding
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,7 @@ def queries() -> dict[str, Query]:
         "op4_decontamination": lambda s, d: decontaminate.contained(table(s, d, "documents"), table(s, d, "benchmark")),
         "op5_mixing": lambda s, d: mixing.digest(table(s, d, "documents")),
         "op8_resharding": lambda s, d: resharding.digest(table(s, d, "documents")),
+        "op9_ngram_jaccard": lambda s, d: ngram_join.classes(table(s, d, "documents")),
     }
 
 
@@ -25,4 +26,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op4_decontamination": decontaminate.SQL,
         "op5_mixing": mixing.SQL,
+        "op9_ngram_jaccard": ngram_join.SQL,
     }
