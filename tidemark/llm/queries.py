@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, ngram_join, quality_rules, resharding
+from . import decontaminate, mixing, ngram_join, quality_rules, resharding, substring_dedup
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -14,6 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_substring_dedup": lambda s, d: substring_dedup.digest(table(s, d, "documents")),
         "op2_quality_rules": lambda s, d: quality_rules.digest(table(s, d, "documents")),
         "op4_decontamination": lambda s, d: decontaminate.contained(table(s, d, "documents"), table(s, d, "benchmark")),
         "op5_mixing": lambda s, d: mixing.digest(table(s, d, "documents")),
@@ -24,6 +25,7 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_substring_dedup": substring_dedup.SQL,
         "op4_decontamination": decontaminate.SQL,
         "op5_mixing": mixing.SQL,
         "op9_ngram_jaccard": ngram_join.SQL,
