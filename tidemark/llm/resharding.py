@@ -6,8 +6,8 @@ network has ``old shards x new shards`` edges, whatever the corpus, and is solve
 driver. A flow is then made of documents by their byte offset in the old shard: the
 first bytes stay, the following ones go where the flow sends them. Offsets come from a
 two-level prefix sum (block totals, then rows within a block), so no task sees a whole
-shard. Documents over a 200th of a shard stand first, in the part that stays, so that
-a cut falls among small ones and each shard gets its share within about a percent.
+shard. Documents stand by size class, the largest first, in the part that stays, so that
+a cut falls among small ones and each shard gets its share within a few of these.
 
 Cases: a null text has 1 byte and checksum 0; a null id has an old shard like any
 other; equal rows are told apart by nothing and get neighbouring slots; an empty table gives
@@ -105,7 +105,8 @@ def reshard(docs: DataFrame, old: str, size: str, order: list[str], n_old: int,
     cut = spark.createDataFrame(segments(cheapest_flow(supply, capacity)), "seg_old int, lo long, hi long, shard int")
     n_blocks = max(1, -(-rows // (max(1, n_old) * BLOCK_ROWS)))
     spread = F.xxhash64(*order)
-    placed = docs.withColumn("spread", spread).withColumn("block", F.when(F.col(size) * 200 * n_new > total, 0).otherwise(1 + F.pmod("spread", F.lit(n_blocks))).cast("int"))
+    size_class = F.floor(F.log2(F.greatest(F.col(size), F.lit(1)).cast("double")))
+    placed = docs.withColumn("spread", spread).withColumn("block", (64 - size_class) * n_blocks + F.pmod("spread", F.lit(n_blocks)))
     inside = Window.partitionBy(old, "block").orderBy("spread", *order)
     placed = placed.withColumn("inner_off", F.sum(size).over(inside.rowsBetween(Window.unboundedPreceding, -1)))
     totals = placed.groupBy(old, "block").agg(F.sum(size).alias("block_bytes"))
@@ -146,12 +147,13 @@ def rewrite(spark, folder: str, target: str, n_new: int, order: list[str], size_
     ``kept`` and stay where they are. Other columns are carried along unchanged.
     """
     df = spark.read.parquet(folder)
-    columns = [c for c in df.columns if c != "shard"]
+    columns = [c for c in df.columns if c not in ("shard", "slot")]
     n_old = (df.agg(F.max("shard")).first()[0] or 0) + 1
-    sized = df.withColumn("old_shard", F.col("shard").cast("int")).drop("shard").withColumn("move_bytes", (F.coalesce(F.octet_length(size_of), F.lit(0)) + 1).cast("long"))
-    out = reshard(sized, "old_shard", "move_bytes", order, n_old, n_new)
+    ordered = [f"order_{i}" for i in range(len(order))]
+    sized = df.select(F.col("shard").cast("int").alias("old_shard"), (F.coalesce(F.octet_length(size_of), F.lit(0)) + 1).cast("long").alias("move_bytes"), *[F.col(c).alias(o) for c, o in zip(order, ordered, strict=True)], F.struct(*columns).alias("whole_row"))
+    out = reshard(sized, "old_shard", "move_bytes", ordered, n_old, n_new)
     out = written(out, "resharded")
     crossing = out.where("old_shard <> shard").select("old_shard", "shard").distinct().collect()  # n_old x n_new rows at most
     touched = sorted({r["old_shard"] for r in crossing} | {r["shard"] for r in crossing})
-    out.where(F.col("shard").isin(touched)).select(*columns, "slot", "shard").repartition("shard").write.mode("overwrite").partitionBy("shard").parquet(target)
+    out.where(F.col("shard").isin(touched)).select("whole_row.*", "slot", "shard").repartition("shard").write.mode("overwrite").partitionBy("shard").parquet(target)
     return {"rewritten": touched, "kept": [j for j in range(n_new) if j not in touched]}
