@@ -3,8 +3,9 @@
 One dictionary is trained on toxic text, one on ordinary text. Both are appended to the same
 base of ordinary text, so that what is common compresses alike, and a window's two compressed lengths differ
 by what only one dictionary knows. Toxic documents are ordinary text for the most
-part; the toxic dictionary is therefore trained on their telling stretches: bytes covered by PIECE-byte
-pieces that are at least LIFT times as frequent among toxic documents as among ordinary ones.
+part; the toxic dictionary is therefore trained on their telling stretches: bytes covered by
+pieces that are several times as frequent among toxic documents as among ordinary ones (PIECES: length, how many
+times, and the least share of toxic documents that hold one).
 
 A text is cut into windows of WINDOW words. Its features are how many windows, and which share,
 the toxic dictionary shortens by at least two and three bytes more, the largest
@@ -36,8 +37,9 @@ from pyspark.sql import functions as F
 
 from .common import slices
 
-PIECE, LIFT, WINDOW, LEVEL = 4, 20.0, 8, 9
-BASE_SIZE, OWN_SIZE = 8192, 512
+WINDOW, LEVEL = 8, 9
+PIECES = ((4, 20.0, 0.01), (8, 6.0, 0.03))
+BASE_SIZE, OWN_SIZE = 8192, 1024
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int, n_windows long, most_gain long"
 
 
@@ -46,19 +48,30 @@ def windows(text: bytes) -> list[bytes]:
     return [b" " + b" ".join(words[i : i + WINDOW]) + b" " for i in range(0, len(words), WINDOW)] or [b""]
 
 
-def _pieces(text: bytes) -> set[bytes]:
-    t = b" " + b" ".join(text.lower().split()) + b" "
-    return {t[i : i + PIECE] for i in range(len(t) - PIECE + 1)}
+def _spaced(text: bytes) -> bytes:
+    return b" " + b" ".join(text.lower().split()) + b" "
 
 
-def _telling(text: bytes, pieces: set[bytes]) -> bytes:
-    """The stretches of a text that telling pieces cover."""
-    t = b" " + b" ".join(text.lower().split()) + b" "
-    covered = bytearray(len(t))
-    for i in range(len(t) - PIECE + 1):
-        if t[i : i + PIECE] in pieces:
-            covered[i : i + PIECE] = b"\1" * PIECE
-    return bytes(c for c, k in zip(t, covered, strict=True) if k)
+def _pieces(spaced: bytes, size: int) -> set[bytes]:
+    return {spaced[i : i + size] for i in range(len(spaced) - size + 1)}
+
+
+def _telling(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
+    """Of each toxic text the stretches that telling pieces cover."""
+    marks = [bytearray(len(t)) for t in toxic]
+    for size, times, share in PIECES:
+        t_in, o_in = Counter(), Counter()
+        for t in toxic:
+            t_in.update(_pieces(t, size))
+        for t in ordinary:
+            o_in.update(_pieces(t, size) & t_in.keys())
+        least = max(4, share * len(toxic))
+        found = {g for g, c in t_in.items() if c >= least and c / len(toxic) >= times * (o_in[g] + 0.5) / (len(ordinary) + 1)}
+        for t, mark in zip(toxic, marks, strict=True):
+            for i in range(len(t) - size + 1):
+                if t[i : i + size] in found:
+                    mark[i : i + size] = b"\1" * size
+    return [bytes(c for c, k in zip(t, mark, strict=True) if k) for t, mark in zip(toxic, marks, strict=True)]
 
 
 def _trained(samples: list[bytes], size: int, **kw) -> bytes:
@@ -123,29 +136,25 @@ def fit(toxic: list[bytes], ordinary: list[bytes], n_toxic: int, n_ordinary: int
     share = n_toxic / max(1, n_toxic + n_ordinary)
     if len(toxic) < 2 or len(ordinary) < 2:
         return Model(b"", b"", b"", [], share)
-    t, o = toxic[::2], ordinary[::2]
-    t_in, o_in = Counter(), Counter()
-    for x in t:
-        t_in.update(_pieces(x))
-    for x in o:
-        o_in.update(_pieces(x))
-    least = max(4, len(t) // 100)
-    pieces = {g for g, c in t_in.items() if c >= least and c / len(t) >= LIFT * (o_in[g] + 0.5) / (len(o) + 1)}
-    half = len(o) // 2
-    base = _trained([w for x in o[:half] for w in windows(x)], BASE_SIZE)
-    own = _trained([_telling(x, pieces) for x in t], OWN_SIZE, k=24, d=6)
-    plain = _trained([w for x in o[half:] for w in windows(x)], OWN_SIZE)
-    size = min(len(own), len(plain))
-    model = Model(base, own[-size:] if size else b"", plain[-size:] if size else b"", [], share)
+    model = dictionaries(toxic[::2], ordinary[::2], share)
     compressors = model.compressors()
     seen = [(x, 1.0) for x in toxic[1::2]] + [(x, 0.0) for x in ordinary[1::2]]
     y = np.array([v for _, v in seen])
-    weight = np.where(y == 1, n_toxic / max(1, (y == 1).sum()), n_ordinary / max(1, (y == 0).sum()))
-    weight *= len(y) / weight.sum()
-    model.weights = _logistic(np.array([features(model.gains(compressors, x)) for x, _ in seen]), y, weight)
+    weight = np.where(y == 1, n_toxic / (y == 1).sum(), n_ordinary / (y == 0).sum())
+    model.weights = _logistic(np.array([features(model.gains(compressors, x)) for x, _ in seen]), y, weight * len(y) / weight.sum())
     return model
 
 
+def dictionaries(toxic: list[bytes], ordinary: list[bytes], share: float) -> Model:
+    """A model without its curve. The two own dictionaries have one size, so that the base lies equally far back."""
+    half = len(ordinary) // 2
+    base = _trained([w for x in ordinary[:half] for w in windows(x)], BASE_SIZE)
+    own = _trained(_telling([_spaced(x) for x in toxic], [_spaced(x) for x in ordinary]), OWN_SIZE, k=24, d=6)
+    plain = _trained([w for x in ordinary[half:] for w in windows(x)], OWN_SIZE)
+    size = min(len(own), len(plain))
+    return Model(base, own[len(own) - size :], plain[len(plain) - size :], [], share)
+
+
 def sample(docs: DataFrame, labels: DataFrame, toxic_sample: int, ordinary_sample: int, most_bytes: int) -> tuple[list[bytes], list[bytes], int, int]:
     """Texts of both classes from rows that are not held out, and the counts of such rows."""
     seen = labels.where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").cast("long").alias("l_id")).agg(F.max("toxic").alias("toxic"))
