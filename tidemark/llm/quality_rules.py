@@ -2,17 +2,19 @@
 
 Each rule votes good (1), bad (-1) or abstains (0) from a text's counts. Whether a
 document is good is never seen: expectation-maximisation over the vote patterns estimates
-how often each rule is right when it votes and how many documents are good, and a
-document is kept if its posterior probability of being good reaches ``keep_at``. A
-single bad vote can thus be outvoted, unlike with filters that all must pass.
+how many documents are good and, for good and for bad documents apart, how often each rule votes how. A
+document is kept if its posterior probability of being good reaches ``keep_at``. A bad vote of a
+rule that often errs is thus outvoted, unlike with filters that all must pass, and good votes that
+bad documents get as well count for nothing.
 
 There are at most 3^len(RULES) vote patterns, however many documents; their counts are all that
 the driver sees, and the fitted model goes back as a linear expression of the votes.
-Accuracies have a Beta prior and stay within [0.55, 0.99], so that votes never turn over.
+The rates have a prior of a hundredth of the documents, and a good vote never counts against a document nor a bad
+vote for it.
 
 The counts follow the contract of op2: n_words, word_chars, n_symbols, n_dup_lines (lines with a word
 equal to an earlier one), n_repeat_words (words in 8-word windows found at least twice). ``base_failed``
-documents are never kept.
+documents are never kept, and the fit leaves them out: it is to judge the others.
 
 Cases: a null or empty text has counts 0 and fails; ties and repeated rows are judged
 each on its own; an empty table gives an empty result; other columns are left out.
@@ -76,33 +78,46 @@ def rules() -> dict[str, Column]:
         "symbols": _vote(c("n_symbols") * 10 > n, c("n_symbols") * 100 <= n),
         "lines": _vote(c("n_dup_lines") * 10 > 3 * c("n_lines"), (c("n_lines") >= 2) & (c("n_dup_lines") * 20 <= c("n_lines"))),
         "repeats": _vote(c("n_repeat_words") * 5 > n, (c("n_words") >= WINDOW) & (c("n_repeat_words") * 20 <= n)),
-        "letters": _vote(c("n_letters") * 10 < 7 * c("word_chars"), c("n_letters") * 100 >= 85 * c("word_chars")),
+        "letters": _vote(c("n_letters") * 100 < 88 * c("word_chars"), c("n_letters") * 100 >= 93 * c("word_chars")),
         "variety": _vote((c("n_words") >= 20) & (c("n_distinct") * 10 < n), c("n_distinct") * 100 >= 25 * n),
-        "sentences": _vote((c("n_words") >= 40) & ((c("n_stops") * 100 < n) | (c("n_stops") * 2 > n)), c("n_stops").between(n / 50, n / 3)),
+        "sentences": _vote((c("n_words") >= 40) & ((c("n_stops") * 100 < 2 * n) | (c("n_stops") * 3 > n)), c("n_stops").between(n / 25, n / 5)),
     }
 
 
-def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 50, prior: tuple[float, float] = (8.0, 2.0)) -> tuple[float, list[float]]:
-    """(log odds of good, log odds of each rule's being right) from vote patterns and their counts."""
+#: Prior shares of bad, no and good votes among good and among bad documents.
+PRIOR = {True: (0.05, 0.35, 0.60), False: (0.45, 0.35, 0.20)}
+
+
+def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 100) -> tuple[float, list[tuple[float, float, float]]]:
+    """(log odds of good, for each rule the log odds that a bad vote, none and a good vote add) from vote patterns and counts."""
     k = len(patterns[0][0]) if patterns else 0
     total = sum(c for _, c in patterns)
     if not total:
-        return 0.0, [0.0] * k
-    good, right = 0.8, [0.8] * k
-    strength = max(1.0, total / 1000)  # the prior weighs a hundredth
+        return 0.0, []
+    strength = max(1.0, total / 100)
+    odds, weights = 0.0, [(0.0, 0.0, 0.0)] * k
+    posterior = [(0.97, 0.3, 0.05)[min(2, sum(x < 0 for x in v))] for v, _ in patterns]
     for _ in range(rounds):
-        hits, votes, positive = [0.0] * k, [0] * k, 0.0
-        for v, count in patterns:
-            z = math.log(good / (1 - good)) + sum(x * math.log(a / (1 - a)) for x, a in zip(v, right, strict=True))
-            q = 1 / (1 + math.exp(-z)) if z > -700 else 0.0
-            positive += q * count
+        held = {True: [[strength * p for p in PRIOR[True]] for _ in range(k)], False: [[strength * p for p in PRIOR[False]] for _ in range(k)]}
+        good = 0.0
+        for (v, count), q in zip(patterns, posterior, strict=True):
+            good += q * count
             for j, x in enumerate(v):
-                if x:
-                    votes[j] += count
-                    hits[j] += count * (q if x > 0 else 1 - q)
-        good = min(0.99, max(0.5, (positive + 8 * strength) / (total + 10 * strength)))
-        right = [min(0.99, max(0.55, (h + prior[0] * strength) / (n + sum(prior) * strength))) for h, n in zip(hits, votes, strict=True)]
-    return math.log(good / (1 - good)), [math.log(a / (1 - a)) for a in right]
+                held[True][j][x + 1] += q * count
+                held[False][j][x + 1] += (1 - q) * count
+        share = (good + 0.85 * strength) / (total + strength)
+        odds, weights = math.log(share / (1 - share)), []
+        for g, b in zip(held[True], held[False], strict=True):
+            bad, none, fine = (math.log(x / sum(g)) - math.log(y / sum(b)) for x, y in zip(g, b, strict=True))
+            weights.append((min(bad, 0.0), none, max(fine, 0.0)))
+        before = posterior
+        posterior = []
+        for v, _ in patterns:
+            z = odds + sum(w[x + 1] for w, x in zip(weights, v, strict=True))
+            posterior.append(1 / (1 + math.exp(-max(-500.0, min(500.0, z)))))
+        if max(abs(x - y) for x, y in zip(before, posterior, strict=True)) < 1e-9:
+            break
+    return odds, weights
 
 
 def judged(docs: DataFrame, *keep: str, keep_at: float = 0.5, min_words: int = 20, most_repeats: int = 30) -> DataFrame:
@@ -111,12 +126,12 @@ def judged(docs: DataFrame, *keep: str, keep_at: float = 0.5, min_words: int = 2
     names = [f"vote_{r}" for r in votes]
     df = measured(docs, *keep).select("*", *[v.alias(f"vote_{r}") for r, v in votes.items()])
     df = written(df, "votes")
-    seen = df.groupBy(*names).count().collect()  # 3^len(rules) rows at most
+    failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > most_repeats * F.col("n_words"))
+    seen = df.where(~failed).groupBy(*names).count().collect()  # 3^len(rules) rows at most
     log_good, weights = fit([(tuple(r[x] for x in names), r["count"]) for r in sorted(seen)])
     z = F.lit(log_good)
-    for x, w in zip(names, weights, strict=True):
-        z = z + F.col(x) * w
-    failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > most_repeats * F.col("n_words"))
+    for x, (bad, none, fine) in zip(names, weights or [(0.0, 0.0, 0.0)] * len(names), strict=True):
+        z = z + F.when(F.col(x) < 0, bad).when(F.col(x) > 0, fine).otherwise(none)
     return df.withColumn("posterior", 1 / (1 + F.exp(-z))).withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("posterior") >= keep_at))
 
 
