@@ -13,6 +13,7 @@ from ..functions import kernels
 from ..operators import alarms, channels, events, fit, nulls, series, stats
 from ..sources import prices as sources
 from ..sources import registry as registries
+from ..sources.tables import written
 
 ERAS = [1995, 1997, 1999, 2001, 2003]
 CONTROLS = ("realized_vol", "drawdown", "trailing_return")
@@ -92,7 +93,7 @@ def offline_event_study(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def synthetic_demo(spark: SparkSession, rows: int = 2000, event: tuple[int, int] = (1000, 1120)) -> DataFrame:
     """The same on a generated panel with one stressed stretch, against the regime model."""
-    p = sources.synthetic_prices(spark, rows, event).cache()
+    p = sources.synthetic_prices(spark, rows, event)
     s = Study(p.drop("in_event"), ("SPY", "DIA"), [])
     raw = channels.raw_channels(s.embedded(causal=False), s.ops)
     z = series.causal_zscore(series.long_form(raw, ("spectral_entropy", "reduced_purity", "hmm_high_var"), ("crisis", "series_id", "ts", "pos")), ("crisis", "series_id", "channel"))
@@ -118,21 +119,21 @@ def causal_comparison(s: Study) -> dict[str, DataFrame]:
 
 def panel_study(s: Study, draws: int = 5000, reps: int = 2000) -> dict[str, DataFrame]:
     """The multi-event panel: effect sizes, both nulls, count statistic, multiplicity, bootstrap intervals."""
-    z = s.panel().cache()
+    z = written(s.panel(), "panel")
     k = s.contexts.where("usable").count()
-    aligned = nulls.finite(nulls.aligned_panel(z, k), ("crisis", "channel")).cache()
+    aligned = written(nulls.finite(nulls.aligned_panel(z, k), ("crisis", "channel")), "aligned")
     keys = ("crisis", "channel")
     members = s.members()
     own = aligned.select(*keys, "pos", "m", "total").join(F.broadcast(members.select(F.col("crisis").alias("event"), "pos")), "pos").where("crisis = event")
     win = own.groupBy(*keys).agg(F.min("m").alias("lo"), F.max("m").alias("hi"), F.count(F.lit(1)).alias("len"), F.first("total").alias("total"))
-    sums = nulls.prefix_sums(aligned, keys).cache()
-    real = nulls.real_windows(win, sums, keys)
+    win, sums = written(win, "windows"), written(nulls.prefix_sums(aligned, keys), "sums")
+    real = written(nulls.real_windows(win, sums, keys), "real")
     every = nulls.placed(nulls.window_candidates(win), sums, keys)
     pool = every.withColumn("nth", F.row_number().over(series.ordered(*keys, by="start")) - 1)
     size = pool.groupBy(*keys).agg(F.count(F.lit(1)).alias("pool"))
     picks = size.withColumn("draw_id", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("nth", F.pmod(F.xxhash64(*keys, "draw_id", F.lit(s.seed)), F.col("pool"))).drop("pool")
-    a = picks.join(pool.drop("draw_id"), [*keys, "nth"]).cache()
-    b = nulls.shift_draws(win, sums, keys).cache()
+    a = written(picks.join(pool.drop("draw_id"), [*keys, "nth"]), "draws_a")
+    b = written(nulls.shift_draws(win, sums, keys), "draws_b")
     tau = stats.autocorrelation(aligned, keys, order="m").groupBy("channel").agg(F.max("tau").alias("tau"), F.min("n_eff").alias("n_eff"))
     panel_a = nulls.panel_statistics(a, real).withColumn("family", F.lit("a")).withColumn("p", F.col("p_raw"))
     panel_b = nulls.floored(nulls.panel_statistics(b, real), tau, ("channel",)).withColumn("family", F.lit("b"))
@@ -153,10 +154,11 @@ def alarm_study(s: Study, z: DataFrame, target: float = 1.0) -> dict[str, DataFr
     """One fit before the first event, thresholds frozen there, and what follows. z: (channel, pos, ts, z)."""
     first = s.contexts.orderBy("start").limit(1).select("cutoff")
     cal = events.any_event(s.calendar, events.spans(s.calendar, s.windows)).join(F.broadcast(first)).withColumn("block", F.col("ts") < F.col("cutoff")).withColumn("forward", F.col("ts") >= F.col("cutoff"))
-    rows = z.join(cal.select("pos", "block", "forward", "in_any"), "pos").cache()
+    cal = written(cal, "calendar")
+    rows = written(z.join(cal.select("pos", "block", "forward", "in_any"), "pos"), "rows")
     tau = alarms.calibrated(rows.where("block"), target)
-    fired = alarms.upcrossings(rows.join(F.broadcast(tau), "channel"), "tau").cache()
-    members = s.members().join(cal.where("forward").select("pos"), "pos", "left_semi")
+    fired = written(alarms.upcrossings(rows.join(F.broadcast(tau), "channel"), "tau"), "fired")
+    members = written(s.members().join(cal.where("forward").select("pos"), "pos", "left_semi"), "members")
     found = alarms.detection(fired.where("forward"), members)
     calm = F.col("forward") & ~F.col("in_any")
     return {

@@ -13,6 +13,7 @@ from .functions import kernels
 from .operators import alarms, channels, events, fit, nulls, series, stats
 from .plans import reports
 from .sources import prices, registry
+from .sources.tables import written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -70,9 +71,9 @@ def members(s, d):
 
 
 def null_parts(s, d):
-    fin = nulls.finite(scores(s, d)).cache()
-    win = nulls.windows(fin, members(s, d)).cache()
-    sums = nulls.prefix_sums(fin).cache()
+    fin = written(nulls.finite(scores(s, d)), "finite")
+    win = written(nulls.windows(fin, members(s, d)), "windows")
+    sums = written(nulls.prefix_sums(fin), "sums")
     return fin, win, sums
 
 
@@ -86,9 +87,9 @@ def alarm_rows(s, d):
 
 def fired_rows(s, d):
     cal, rows = alarm_rows(s, d)
-    rows = rows.cache()
+    cal, rows = written(cal, "calendar"), written(rows, "rows")
     tau = alarms.calibrated(rows.where("block"))
-    fired = alarms.upcrossings(rows.join(F.broadcast(tau), "channel"), "tau").cache()
+    fired = written(alarms.upcrossings(rows.join(F.broadcast(tau), "channel"), "tau"), "fired")
     ahead = members(s, d).join(cal.where("forward").select("pos"), "pos", "left_semi")
     return cal, fired, ahead
 
@@ -542,7 +543,7 @@ def _(s, d):
 
 
 def _bootstrap_parts(s, d):
-    fin = nulls.finite(scores(s, d).where("channel = 'drawdown'")).cache()
+    fin = written(nulls.finite(scores(s, d).where("channel = 'drawdown'")), "drawdown")
     total = fin.count()  # the series' length
     return fin, members(s, d).select("crisis", "pos"), nulls.block_starts(s, 200, total, 150)
 
