@@ -190,7 +190,7 @@ def classes(docs: DataFrame, k: int = 5, share: int = SHARE) -> DataFrame:
         return out.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     hot = hot_sketch.bitmap(first.where("range is not null"), width, hot_sketch.threshold(total, width))
     shared_hot = spark.sparkContext.broadcast(hot)
-    n_blocks = block_count(total // 4, 1 << 20)
+    n_blocks = block_count(total // 4, 1 << 18)
     product = (
         docs.where("doc_id is not null")
         .mapInArrow(lambda it: _entries(it, shared_hot.value, n_blocks, k, share), "block int, payload binary")
