@@ -8,13 +8,15 @@ comparing every document with every shard:
    found by blocks of hashes.
 2. Windows that follow each other in a document and share such an anchor make a region. Regions are
    shuffled by anchor, so all places where a window may repeat are in one shard.
+   Equal texts are drawn together before, so that a passage of many documents travels once a task.
 3. A shard is a run of anchors of about ``shard_words`` words. Its distinct region texts, each
    owned by the least doc_id that holds it, form an FM-index (BWT in a wavelet
-   matrix). Regions stream past it by backward search; an interval counts while it has an owner smaller than the
-   searching document. A match of ``window`` words or more is reported.
-4. The reported intervals of a document are joined to it and their words removed.
+   matrix). They stream past it by backward search; an interval counts while it has an owner smaller than the
+   searching one. A match of ``window`` words or more is reported.
+4. The reports go back to all regions of that text: the owner's get the matches, a
+   later document's region is reported whole. A document's intervals are joined to it and their words removed.
 
-A region equal to one with a smaller owner is reported whole. An anchor with more text than a
+An anchor with more text than a
 shard holds is indexed in several parts, and its regions stream past each.
 Words are compared by 32 bits of their hash, a window by fifty of these.
 
@@ -142,7 +144,7 @@ def _open(batches, hot: np.ndarray, window: int, texts: bool) -> Iterator[pa.Rec
             rows.append((1, doc, tid, len(words), None, None, t.decode("utf-8", "replace"), None, None, None, None))
             for x, y in runs:
                 content = short[x : y + window - 1].tobytes()
-                rows.append((2, doc, tid, None, None, None, None, int(a[x].astype(np.int64)), x, content, _text_id(content)))
+                rows.append((2, doc, tid, y - x + window - 1, None, None, None, int(a[x].astype(np.int64)), x, content, _text_id(content)))
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _TYPES, strict=True)], names=_NAMES)
 
 
@@ -151,50 +153,29 @@ def _gather(values: np.ndarray, offset: np.ndarray, length: np.ndarray) -> np.nd
     return values[np.repeat(offset - (ends - length), length) + np.arange(int(ends[-1]) if len(ends) else 0)]
 
 
-def match_regions(h, doc, tid, start, content: list[bytes], window: int, shard_words: int) -> tuple[np.ndarray, ...]:
-    """(doc, tid, from, to) that the regions of whole anchors, in order of (h, text, doc), have in common with smaller owners."""
+def match_regions(h: np.ndarray, doc: np.ndarray, content: list[bytes], window: int, shard_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text, window start): matches of distinct texts, in order of their anchors h, with texts of smaller owners."""
     length = np.array([len(c) // 4 for c in content], np.int64)
-    offset = np.concatenate([[0], np.cumsum(length)[:-1]])
-    words = np.frombuffer(b"".join(content), np.uint32)
-    new = np.ones(len(content), bool)
-    for i in range(1, len(content)):
-        new[i] = h[i] != h[i - 1] or content[i] != content[i - 1]
-    text_of = np.cumsum(new) - 1
-    lead = np.flatnonzero(new)
-    copy = doc > doc[lead][text_of]
-    out = [(doc[copy], tid[copy], start[copy], start[copy] + length[copy])]
-    _, owner = np.unique(doc[lead], return_inverse=True)
-    lead_offset, lead_length = offset[lead], length[lead]
-    _, symbols = np.unique(words, return_inverse=True)
-    symbols = symbols.astype(np.int64) + 1
-    covers = []
-    for first, stop in _shards(h[lead], lead_length, shard_words):
-        lo, hi, of = first, stop, np.arange(first, stop)
-        group = np.flatnonzero((h[lead] == h[lead][lo]) | (h[lead] == h[lead][hi - 1])) if stop - first else of
-        queries = np.union1d(of, group)
+    offset = np.cumsum(length) - length
+    _, symbols = np.unique(np.frombuffer(b"".join(content), np.uint32), return_inverse=True)
+    symbols = symbols.astype(np.int64)
+    _, owner = np.unique(doc, return_inverse=True)
+    found = [(np.empty(0, int), np.empty(0, int))]
+    for first, stop in _shards(h, length, shard_words):
+        of = np.arange(first, stop)
+        queries = np.flatnonzero((h >= h[first]) & (h <= h[stop - 1]))  # all of the shard's anchors, parts of which may lie in other shards
         if len(queries) < 2:
             continue
-        used = np.sort(np.unique(np.concatenate([_gather(symbols, lead_offset[queries], lead_length[queries])])))
-        dense = np.searchsorted(used, symbols) + 1
-        dense[dense > len(used)] = len(used)
-        text = np.zeros(int(lead_length[of].sum()) + len(of), np.int64)
-        at = np.cumsum(lead_length[of] + 1) - lead_length[of] - 1
-        who = np.repeat(owner[of], lead_length[of] + 1)
-        place = np.repeat(at, lead_length[of]) + np.concatenate([np.arange(n) for n in lead_length[of]])
-        text[place] = _gather(dense, lead_offset[of], lead_length[of])
-        index = FMIndex(text, who, 2 * window)
-        q, w = matched_windows(index, dense, lead_offset[queries], lead_length[queries], owner[queries], window)
-        covers.append((queries[q], w))
-    if covers:
-        q, w = (np.concatenate(c) for c in zip(*covers, strict=True))
-        twin = ~copy  # rows with the text and the owner of a lead
-        order = np.argsort(text_of[twin], kind="stable")
-        rows = np.flatnonzero(twin)[order]
-        lo, hi = np.searchsorted(text_of[rows], q, "left"), np.searchsorted(text_of[rows], q, "right")
-        row = _gather(rows, lo, hi - lo)
-        w = np.repeat(w, hi - lo)
-        out.append((doc[row], tid[row], start[row] + w, start[row] + w + window))
-    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+        used = np.unique(_gather(symbols, offset[queries], length[queries]))
+        dense = np.minimum(np.searchsorted(used, symbols) + 1, len(used))
+        text = np.zeros(int(length[of].sum()) + len(of), np.int64)
+        at = np.cumsum(length[of] + 1) - length[of] - 1
+        inside = np.arange(int(length[of].sum())) - np.repeat(np.cumsum(length[of]) - length[of], length[of])
+        text[np.repeat(at, length[of]) + inside] = _gather(dense, offset[of], length[of])
+        index = FMIndex(text, np.repeat(owner[of], length[of] + 1), 2 * window)
+        q, w = matched_windows(index, dense, offset[queries], length[queries], owner[queries], window)
+        found.append((queries[q], w))
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
 
 def _shards(h: np.ndarray, length: np.ndarray, shard_words: int) -> Iterator[tuple[int, int]]:
@@ -212,11 +193,16 @@ def _shards(h: np.ndarray, length: np.ndarray, shard_words: int) -> Iterator[tup
 
 
 def _matched(batches, window: int, shard_words: int) -> Iterator[pa.RecordBatch]:
-    names = ["h", "doc_id", "tid", "start", "content"]
+    """Rows (h, chash, owner, at) of distinct texts: where their matches start."""
+    names = ["h", "chash", "owner", "content"]
 
     def told(table: pa.Table) -> pa.RecordBatch:
-        doc, tid, a, b = match_regions(*[numpy_of(table, c) for c in names[:4]], table.column("content").to_pylist(), window, shard_words)
-        return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(tid, pa.int64()), pa.array(a, pa.int32()), pa.array(b, pa.int32())], names=["doc_id", "tid", "start", "stop"])
+        h, chash, doc = (numpy_of(table, c) for c in names[:3])
+        q, w = match_regions(h, doc, table.column("content").to_pylist(), window, shard_words)
+        order = np.argsort(q, kind="stable")
+        ends = np.searchsorted(q[order], np.arange(len(h) + 1))
+        at = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(w[order], pa.int32()))
+        return pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(chash, pa.int64()), pa.array(doc, pa.int64()), at], names=["h", "chash", "owner", "at"])
 
     held, words = [], 0
     for batch in batches:
@@ -255,7 +241,7 @@ def _opened(docs: DataFrame, window: int, texts: bool) -> DataFrame:
     width = hot_sketch.width_for(size)
     told = docs.mapInArrow(lambda it: _sketch(it, width), "range int, payload binary")
     hot = spark.sparkContext.broadcast(hot_sketch.bitmap(told, width, hot_sketch.threshold(size // 5, width)))  # width / 8 bytes
-    n_blocks = block_count(size // 120, 1 << 20)
+    n_blocks = block_count(size // 120, 1 << 18)
     marked = (
         docs.where("doc_id is not null")
         .mapInArrow(lambda it: _anchors(it, hot.value, window, n_blocks), "block int, payload binary")
@@ -269,9 +255,14 @@ def _opened(docs: DataFrame, window: int, texts: bool) -> DataFrame:
 
 def spans(opened: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS) -> DataFrame:
     """(doc_id, tid, start, stop): word intervals that a smaller document holds too."""
-    regions = opened.where("kind = 2").select("h", "doc_id", "tid", "start", "content", "chash")
-    sorted_ = regions.repartition("h").sortWithinPartitions("h", "chash", "content", "doc_id")
-    return sorted_.mapInArrow(lambda it: _matched(it, window, shard_words), "doc_id long, tid long, start int, stop int")
+    regions = opened.where("kind = 2").select("h", "chash", "doc_id", "tid", "start", F.col("n_words").cast("int").alias("length"), "content")
+    texts = regions.groupBy("h", "chash").agg(F.min("doc_id").alias("owner"), F.first("content").alias("content"))
+    matched = texts.repartition("h").sortWithinPartitions("h", "chash").mapInArrow(lambda it: _matched(it, window, shard_words), "h long, chash long, owner long, at array<int>")
+    back = regions.drop("content").join(matched, ["h", "chash"])
+    span = lambda a, b: F.struct(a.alias("start"), b.alias("stop"))
+    whole = F.array(span(F.col("start"), F.col("start") + F.col("length")))
+    parts = F.transform("at", lambda w: span(F.col("start") + w, F.col("start") + w + window))
+    return back.select("doc_id", "tid", F.explode(F.when(F.col("doc_id") > F.col("owner"), whole).otherwise(parts)).alias("span")).select("doc_id", "tid", "span.start", "span.stop")
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW, texts: bool = True, shard_words: int = SHARD_WORDS) -> DataFrame:
