@@ -69,9 +69,8 @@ def window_anchors(h: np.ndarray, hot: np.ndarray, window: int) -> np.ndarray:
 def _sketch(batches, width: int) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(width, np.uint32)
     for _, texts in slices(batches):
-        met = [np.unique(grams(hash_words(w), GRAM)) for t in texts if len(w := t.split()) >= GRAM]
-        if met:
-            hot_sketch.count(counts, np.concatenate(met))
+        # all texts of a slice as one: repeats in a text and grams across two texts only touch the order
+        hot_sketch.count(counts, grams(hash_words(b" ".join(texts).split()), GRAM))
     told = list(hot_sketch.told(counts))
     if told:
         yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in told], pa.int32()), pa.array([p for _, p in told], pa.binary())], names=["range", "payload"])
@@ -241,7 +240,7 @@ def _opened(docs: DataFrame, window: int, texts: bool) -> DataFrame:
     width = hot_sketch.width_for(size)
     told = docs.mapInArrow(lambda it: _sketch(it, width), "range int, payload binary")
     hot = spark.sparkContext.broadcast(hot_sketch.bitmap(told, width, hot_sketch.threshold(size // 5, width)))  # width / 8 bytes
-    n_blocks = block_count(size // 120, 1 << 18)
+    n_blocks = block_count(size // 120, 1 << 20)
     marked = (
         docs.where("doc_id is not null")
         .mapInArrow(lambda it: _anchors(it, hot.value, window, n_blocks), "block int, payload binary")
