@@ -112,7 +112,7 @@ def contained(docs: DataFrame, benchmark: DataFrame, k: int = 5, share: float =
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:
-    """docs without those that contain an item."""
+    """docs without those that contain an item; a row without doc_id cannot be named and stays."""
     leaking = contained(docs, benchmark, **kw).select("doc_id").distinct()
     return docs.join(leaking, docs["doc_id"] == leaking["doc_id"], "left_anti")
 

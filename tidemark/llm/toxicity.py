@@ -157,6 +157,7 @@ def dictionaries(toxic: list[bytes], ordinary: list[bytes], share: float) -> Mod
 
 def sample(docs: DataFrame, labels: DataFrame, toxic_sample: int, ordinary_sample: int, most_bytes: int) -> tuple[list[bytes], list[bytes], int, int]:
     """Texts of both classes from rows that are not held out, and the counts of such rows."""
+    docs, labels = docs.select("doc_id", "text"), labels.select("doc_id", "toxic")
     seen = labels.where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").cast("long").alias("l_id")).agg(F.max("toxic").alias("toxic"))
     counts = {r["toxic"]: r["count"] for r in seen.groupBy((F.col("toxic") == 1).cast("int").alias("toxic")).count().collect()}
     texts = []
