@@ -146,6 +146,16 @@ def test_studies_run(spark):
     assert both["row_cosines"].first()["mean_cosine"] <= 1 + 1e-9
 
 
+def test_series_correlation_and_eras(spark):
+    r = q.QUERIES["series_correlation"](spark, TINY).toPandas()
+    same = r[r["channel"].isin(reports.CONTROLS)]
+    assert len(same) == 15 and np.allclose(same["r"].astype(float), 1)  # controls need no fit
+    assert r["r"].dropna().abs().le(1 + 1e-9).all()
+    assert set(q.QUERIES["era_alarm_table"](spark, SMALL).columns) == {"channel", "1995-1996", "1997-1998", "1999-2000", "2001-2002"}
+    s = q.QUERIES["synthetic_on_calendar"](spark, TINY).toPandas()
+    assert s["in_event"].sum() == 61 and s[["SPY", "DIA"]].gt(0).all().all()
+
+
 def test_absorption_ratio_of_generated_returns(spark):
     rng = np.random.default_rng(1)
     common = rng.normal(size=200)

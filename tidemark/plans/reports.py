@@ -114,7 +114,16 @@ def causal_comparison(s: Study) -> dict[str, DataFrame]:
     past, whole = s.embedded(True), s.embedded(False)
     latest = s.contexts.where("usable").orderBy(F.col("start").desc()).limit(1).select("crisis")
     d = effect_sizes(s, s.panel(True)).select("event", "channel", F.col("abs_d").alias("past_fit")).join(effect_sizes(s, s.panel(False)).select("event", "channel", F.col("abs_d").alias("single_fit")), ["event", "channel"])
-    return {"effect_sizes": d, "row_cosines": fit.row_cosines(whole, past.join(F.broadcast(latest), "crisis"))}
+    return {"effect_sizes": d, "series_correlation": series_correlation(s), "row_cosines": fit.row_cosines(whole, past.join(F.broadcast(latest), "crisis"))}
+
+
+def series_correlation(s: Study) -> DataFrame:
+    """Correlation of each channel's scores under past-only fits with those under a single fit, where both are present."""
+    a = s.panel(True).where("z is not null").select("crisis", "channel", "pos", F.col("z").alias("x"))
+    b = s.panel(False).where("z is not null").select("channel", "pos", F.col("z").alias("y"))
+    varies = (F.count(F.lit(1)) > 2) & (F.stddev_pop("x") > 0) & (F.stddev_pop("y") > 0)
+    r = F.covar_pop("x", "y") / (F.stddev_pop("x") * F.stddev_pop("y"))
+    return a.join(b, ["channel", "pos"]).groupBy("crisis", "channel").agg(F.count(F.lit(1)).alias("n"), F.when(varies, r).alias("r"))
 
 
 def panel_study(s: Study, draws: int = 5000, reps: int = 2000) -> dict[str, DataFrame]:

@@ -650,6 +650,21 @@ def _(s, d):
     return fit.row_cosines(st.embedded(False), st.embedded(True).where("crisis = '2000 Spring'"))
 
 
+@query("series_correlation")
+def _(s, d):
+    return reports.series_correlation(reports.study(s, d))
+
+
+@query("panel_nulls")
+def _(s, d):
+    return reports.panel_study(reports.study(s, d), draws=1000)["panel_nulls"]
+
+
+@query("era_alarm_table")
+def _(s, d):
+    return reports.alarm_study(reports.study(s, d), scores(s, d).select("channel", "pos", "ts", "z"))["eras"]
+
+
 @query("channel_correlations")
 def _(s, d):
     return reports.channel_correlations(reports.study(s, d))
@@ -675,6 +690,12 @@ def _(s, d):
     return prices.synthetic_prices(s, 400, (200, 260))
 
 
+@query("synthetic_on_calendar")
+def _(s, d):
+    days = np.arange("1995-01-02", "1997-01-02", dtype="datetime64[D]")
+    return prices.synthetic_on_calendar(s, days, (days >= np.datetime64("1996-03-01")) & (days < np.datetime64("1996-05-01")))
+
+
 @query("synthetic_demo")
 def _(s, d):
     return reports.synthetic_demo(s, 600, (300, 380))
