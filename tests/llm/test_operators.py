@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import random
 import sys
 import zlib
 from collections import Counter, defaultdict
@@ -297,6 +298,45 @@ def test_edit_automaton(pairs, k):
     assert line_dedup.within(list(a), list(b), k).tolist() == [edits(x, y) <= k for x, y in pairs]
 
 
+def test_line_dedup_threshold_grows_with_the_line(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghijklmno") for _ in range(rng.randint(2, 8)))
+    lines = []
+    for n in (1, 2, 3, 4, 6, 9, 12, 15, 18, 20, 21, 22, 25, 40, 110, 300):
+        for _ in range(3):
+            base = [word() for _ in range(n)]
+            lines.append(" ".join(base))
+            for changes in (1, 1, 2, n // 20 + 1):
+                other = list(base)
+                for _ in range(changes):
+                    i = rng.randrange(len(other))
+                    other[i] = rng.choice([word(), other[i][1:] + "x", other[i] + "y", ""])
+                lines.append(" ".join(other).strip())
+    lines = list(dict.fromkeys(lines))
+    rng.shuffle(lines)
+    length = [len(x) for x in lines]
+    allowed = lambda n: 0 if n < 10 else 1 if n < 30 else max(2, n * 5 // 100)
+    near, every, beyond = set(), set(), 0
+    for j, y in enumerate(lines):
+        for i, x in enumerate(lines[:j]):
+            k = allowed(min(length[i], length[j]))
+            if abs(length[i] - length[j]) <= k and line_dedup.close(x, y, k):
+                every.add(j)
+                if min(length[i], length[j]) < line_dedup.LONG or {x[p : p + 40] for p in range(length[i] - 39)} & {y[p : p + 40] for p in range(length[j] - 39)}:
+                    near.add(j)
+                    beyond += not line_dedup.close(x, y, 2)
+    assert beyond > 20 and {allowed(length[j]) for j in near} >= {1, 2, 3, 4, 5}
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string")
+    found = {r["doc_id"] for r in line_dedup.repeated_lines(docs, line_dedup.NEAR).where("size(near) > 0").collect()}
+    assert near <= found <= every
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text("abé", max_size=14), st.text("abé", max_size=14), st.integers(0, 9))
+def test_close_is_edit_distance(a, b, k):
+    assert line_dedup.close(a, b, k) == (edits(a, b) <= k)
+
+
 # ---- 7 toxicity
 
 
