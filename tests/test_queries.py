@@ -1,5 +1,7 @@
 """Every query against its SQL, and what the others must satisfy."""
 
+import hashlib
+
 import numpy as np
 import pytest
 from compare import assert_same
@@ -168,3 +170,28 @@ def test_absorption_ratio_of_generated_returns(spark):
 def test_kernel_bandwidth():
     x = np.random.default_rng(0).normal(size=(50, 3))
     assert kernels.bandwidth(x) > 0 and kernels.bandwidth(np.zeros((5, 3))) == 1.0
+
+
+def test_bootstrap_interval_of_every_channel(spark):
+    got = q.QUERIES["bootstrap_interval"](spark, SMALL).toPandas().set_index("channel")
+    assert set(got.index) == set(reports.CONTROLS)
+    fin = nulls.finite(q.scores(spark, SMALL)).toPandas()
+    inside = q.members(spark, SMALL).toPandas().groupby("crisis")["pos"].apply(set)
+    for channel, rows in fin.groupby("channel"):
+        rows = rows.sort_values("m")
+        z, n = rows["z"].to_numpy(), len(rows)
+        block, _ = kernels.block_length(z)
+        masks = [rows["pos"].isin(p).to_numpy() for p in inside]
+        medians = []
+        for rep in range(2000):
+            blocks = -(-n // block)
+            starts = [int(hashlib.md5(f"{rep}:{b}:42".encode()).hexdigest()[:12], 16) % n for b in range(blocks)]
+            pick = np.concatenate([(s + np.arange(block if b < blocks - 1 else n - b * block)) % n for b, s in enumerate(starts)])
+            d = []
+            for m in masks:
+                x, y = z[pick][m[pick]], z[pick][~m[pick]]
+                if len(x) >= 10 and len(y) >= 2:
+                    d.append(abs(x.mean() - y.mean()) / np.sqrt((x.var() * len(x) + y.var() * len(y)) / (n - 2)))
+            if d:
+                medians.append(np.median(d))
+        assert np.allclose(got.loc[channel, ["lo", "hi"]].astype(float), np.percentile(medians, [2.5, 97.5]), atol=1e-6)

@@ -174,6 +174,17 @@ def block_bootstrap(fin: DataFrame, members: DataFrame, starts: DataFrame, keys:
     return acc.where((n_a >= least_days) & (c("total") - n_a >= 2)).select(*keys, "rep", "crisis", d.alias("d"))
 
 
+def channel_bootstrap(fin: DataFrame, members: DataFrame, blocks: DataFrame, reps: int = 2000, seed: int = 42) -> DataFrame:
+    """``block_bootstrap`` of every channel, with its block length in blocks(channel, block). Channels are few."""
+    sizes = fin.join(F.broadcast(blocks), "channel").groupBy("channel").agg(F.first("total").alias("total"), F.first("block").alias("block")).collect()
+    out = None
+    for r in sorted(sizes, key=lambda x: x["channel"]):
+        starts = block_starts(fin.sparkSession, reps, r["total"], r["block"], seed)
+        one = block_bootstrap(fin.where(F.col("channel") == r["channel"]), members, starts)
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def bootstrap_interval(resampled: DataFrame, crises: int, keys: Sequence[str] = ("channel",)) -> DataFrame:
     """95 % interval of the panel median, and how often crises had to be left out."""
     med = resampled.groupBy(*keys, "rep").agg(F.median("d").alias("med"), F.count("d").alias("kept"))

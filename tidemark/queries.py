@@ -565,8 +565,10 @@ def _(s, d):
 
 @query("bootstrap_interval")
 def _(s, d):
-    fin, inside, starts = _bootstrap_parts(s, d)
-    return nulls.bootstrap_interval(nulls.block_bootstrap(fin, inside, starts), len(registry.SAMPLE))
+    """All channels, each with its own block length."""
+    fin = written(nulls.finite(scores(s, d)), "finite")
+    resampled = nulls.channel_bootstrap(fin, members(s, d).select("crisis", "pos"), stats.block_lengths(fin, K, order="m"))
+    return nulls.bootstrap_interval(resampled, len(registry.SAMPLE))
 
 
 @query("politis_white")
