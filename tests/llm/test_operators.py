@@ -239,12 +239,26 @@ def test_mixing(spark, which):
         assert abs(r["target"] - target[r["source"]]) < 1e-6 * max(1, r["target"]) and r["source_size"] == source[r["source"]]
         assert 0 <= r["taken"] <= 3 * r["size"] and (not r["size"] or r["taken"] % r["size"] == 0)
         taken[r["source"]] += r["taken"]
+    if which == "small":
+        assert len({round(r["p"], 9) for r in rows if r["source"] == "hot"}) > 3  # documents of a source differ in their odds
     longest = max(r["size"] for r in rows)
     assert all(abs(taken[s] - target[s]) <= longest / 2 + 1e-6 for s in target)
     assert got(mixing.digest(df)) == got(mixing.digest(df))
     assert mixing.digest(edge.empty(spark)).count() == 0
 
 
+def test_pareto_sampling_keeps_its_inclusion_odds(spark):
+    """Over many numberings of the same documents each is taken about as often as it is due."""
+    sizes, rounds = [3] * 40 + [10] * 40 + [100] * 30 + [900] * 20, 150
+    rows = [(1000 * n + i, str(n), s, 0) for n in range(rounds) for i, s in enumerate(sizes)]
+    rows += [(10**7 + n, f"{n}z", sum(sizes), 0) for n in range(rounds)]  # sources by two: weights 1, 2, 3 in turn
+    out = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, source string, size long, tie long")).where("source not like '%z'").toPandas()
+    out["want"] = out.groupby(["source", "size"])["p"].transform("first") + out.groupby(["source", "size"])["copies"].transform("min")
+    mean = out.groupby("size")[["copies", "want"]].mean()
+    assert mean["want"].is_monotonic_increasing and mean["want"].iloc[-1] > 1.3 * mean["want"].iloc[0]
+    assert (mean["copies"] - mean["want"]).abs().max() < 0.06
+
+
 def test_mixed_rows_are_copies(spark):
     df = edge.docs(spark)
     copies = Counter(r["doc_id"] for r in mixing.mixed(df).collect())
@@ -408,7 +422,8 @@ def test_rewriting_only_what_changes(spark, tmp_path):
 # ---- 9 n-gram join
 
 
-def linked_classes(rows):
+def groups(rows, share=75):
+    """(shingle sets, group of each row)."""
     sets = [shingles(t) for _, t in rows]
     root = list(range(len(rows)))
 
@@ -420,13 +435,28 @@ def linked_classes(rows):
     for i in range(len(rows)):
         for j in range(i):
             both = len(sets[i] & sets[j])
-            if None not in (rows[i][0], rows[j][0]) and sets[i] and sets[j] and 100 * both >= 75 * len(sets[i] | sets[j]):
+            if None not in (rows[i][0], rows[j][0]) and sets[i] and sets[j] and 100 * both >= share * len(sets[i] | sets[j]):
                 root[find(i)] = find(j)
+    return sets, [find(i) for i in range(len(rows))]
+
+
+def linked_classes(rows, share=75):
+    sets, group = groups(rows, share)
     least = {}
-    for i, (d, _) in enumerate(rows):
+    for g, (d, _) in zip(group, rows, strict=True):
         if d is not None:
-            least[find(i)] = min(least.get(find(i), d), d)
-    return sorted(((d, len(s), least.get(find(i))) for i, ((d, _), s) in enumerate(zip(rows, sets, strict=True))), key=str)
+            least[g] = min(least.get(g, d), d)
+    return sorted(((d, len(s), least.get(g)) for g, (d, _), s in zip(group, rows, sets, strict=True)), key=str)
+
+
+def first_of_each(rows):
+    """Least id of each group; rows without words stay."""
+    sets, group = groups(rows)
+    least = {}
+    for g, s, (d, _) in zip(group, sets, rows, strict=True):
+        if d is not None and s:
+            least[g] = min(least.get(g, d), d)
+    return sorted([*least.values(), *(d for s, (d, _) in zip(sets, rows, strict=True) if d is not None and not s)])
 
 
 def test_ngram_join(spark):
@@ -434,7 +464,7 @@ def test_ngram_join(spark):
     assert ngram_join.classes(edge.empty(spark)).count() == 0
     kept = ngram_join.one_of_each(edge.docs(spark))
     ids = [r["doc_id"] for r in kept.collect() if r["doc_id"] is not None]
-    assert sorted(ids) == sorted({c for _, _, c in linked_classes(ROWS) if c is not None})
+    assert sorted(ids) == first_of_each(ROWS)
 
 
 def test_ngram_join_of_copies_without_their_base(spark):
@@ -455,6 +485,52 @@ def test_ngram_join_of_copies_without_their_base(spark):
     assert got(ngram_join.classes(df)) == linked_classes(rows)
 
 
+@pytest.mark.parametrize("share", [50, 90])
+def test_ngram_join_at_other_shares(spark, share):
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+    rows = [(i, " ".join(base[i * 3 : 60 + i * 3])) for i in range(20)]  # neighbours link at 0.86, the others less
+    rows += [(100 + i, " ".join([*base[:40], *(f"x{i}y{j}" for j in range(i))])) for i in range(0, 30, 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(ngram_join.classes(df, share=share)) == linked_classes(rows, share)
+
+
+def test_one_of_each_with_repeated_ids(spark):
+    t, a, b = (" ".join(f"{c}{i}" for i in range(30)) for c in "tab")
+    kept = lambda rows: got(ngram_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert kept([(1, t), (5, t), (5, a), (5, b)]) == [(1, t), (5, a), (5, b)]
+    assert kept([(1, t), (5, t), (5, a)]) == [(1, t), (5, a)]
+    assert kept([(5, t), (5, t), (5, t.upper()), (None, t), (7, None), (7, None), (7, " ")]) == sorted([min([(5, t), (5, t.upper())], key=lambda r: (xx(spark, r[1]),)), (None, t), (7, None), (7, None), (7, " ")], key=str)
+
+
+def xx(spark, text):
+    return spark.createDataFrame([(text,)], "t string").select(F.xxhash64("t")).first()[0]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sets(st.integers(0, 40), min_size=1), min_size=1, max_size=8), st.sets(st.integers(0, 40), min_size=1), st.integers(30, 95), st.integers(1, 9))
+def test_product_by_column_blocks(rows, base, share, columns):
+    spread = lambda s: np.sort(np.array([x * 449_999_999_999_999_983 for x in s], np.uint64))
+    want = [100 * len(base & r) >= share * len(base | r) for r in rows]
+    assert ngram_join.linked_rows(spread(base), [spread(r) for r in rows], share, columns).tolist() == want
+
+
+def test_hot_sketch_finds_what_is_scattered(spark):
+    """A hash of 2,000 documents in 200 tasks is hot, although no task holds it often."""
+    from tidemark.llm import hot
+
+    width = 1 << 16
+    told = []
+    rng = np.random.default_rng(0)
+    for _ in range(200):
+        tally = hot.Tally(width)
+        list(tally.add(np.concatenate([np.full(10, 77, np.uint64), rng.integers(0, 1 << 63, 300).astype(np.uint64)])))
+        told += [(int(b), int(c)) for bucket, count in tally.rest() for b, c in zip(bucket, count, strict=True)]
+    bits = hot.bitmap(spark.createDataFrame(told, "bucket long, times long"), width, 256)
+    found = hot.is_hot(np.arange(width, dtype=np.uint64), bits)
+    assert found[77] and found.sum() < 5
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (5, 4), (9, 8), (8, 7), (7, 6), (6, 5), (20, 20)]
     out = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}

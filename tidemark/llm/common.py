@@ -123,6 +123,12 @@ def split_by_block(block: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
             yield int(block[part[0]]), part
 
 
+def gather(values: np.ndarray, offset: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The stretches of values that start at ``offset``, one after the other."""
+    ends = np.cumsum(length)
+    return values[np.repeat(offset - (ends - length), length) + np.arange(int(ends[-1]) if len(ends) else 0)]
+
+
 def total_bytes(docs: DataFrame, column: str = "text") -> int:
     from pyspark.sql import functions as F
 

@@ -23,14 +23,13 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("u <> v").distinct()
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, root) for every node of links(a, b): root is the least node that it reaches."""
+def components(links: DataFrame) -> DataFrame:
+    """(node, root) for every node of links(a, b): root is the least node that it reaches. Rounds grow with the logarithm of a component."""
     edges = written(links.select(F.col("a").alias("u"), F.col("b").alias("v")).where("u <> v").distinct(), "edges")
     seen = None
-    for _ in range(rounds):
+    while True:
         edges = written(_star(_star(edges, True), False), "edges")
         now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))).first())
         if now == seen:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         seen = now
-    raise RuntimeError(f"components did not settle in {rounds} rounds")

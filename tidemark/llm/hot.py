@@ -1,10 +1,12 @@
-"""Which hashes occur in very many documents: a count sketch over the corpus, kept as a bitmap.
+"""Which hashes occur in very many documents: a sampled count sketch over the corpus, kept as a bitmap.
 
-A hash falls into one of ``width`` buckets; tasks count, blocks of buckets are summed by a
-shuffle, and buckets of more than ``least`` documents are set in a bitmap of width / 8
-bytes (2 MB at most). Operators order hashes by (hot, hash), so that rare ones
+A hash falls into one of ``width`` buckets. A task counts at most ``FLUSH`` hashes at a time and tells a
+bucket's count c with probability min(1, c / STEP), as max(c, STEP): what is told is bounded,
+and its sum is the true count on average, into however many tasks a hash is scattered. The JVM sums what the tasks
+tell, and buckets of more than ``least`` are set in a bitmap of width / 8 bytes (32 MB at most, for
+that is broadcast). Operators order hashes by (hot, hash), so that rare ones
 are chosen first and frequent passages gather no crowd. The order is only a means of balance:
-results do not depend on it.
+results do not depend on it. The choice of what is told follows from the counts themselves, so a task run again tells the same.
 """
 
 from __future__ import annotations
@@ -12,13 +14,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import split_by_block
+from .common import mix
 
-RANGES = 16
-WIDEST = 24
+WIDEST, STEP, FLUSH = 28, 16, 1 << 20
 
 
 def width_for(text_bytes: int) -> int:
@@ -29,35 +31,38 @@ def threshold(total: int, width: int) -> int:
     return max(256, 4 * total // width)
 
 
-def count(counts: np.ndarray, hashes: np.ndarray) -> None:
-    np.add.at(counts, (hashes & np.uint64(len(counts) - 1)).astype(np.int64), 1)
+class Tally:
+    """Counts of one task, told in bounded parts."""
 
+    def __init__(self, width: int):
+        self.mask, self.held, self.size = np.uint64(width - 1), [], 0
 
-def told(counts: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    """(range, payload) of what a task has counted; buckets of under four are left out."""
-    often = np.flatnonzero(counts >= 4).astype(np.uint32)
-    for r, i in split_by_block((often // np.uint32(len(counts) // RANGES)).astype(np.int32)):
-        yield r, np.stack([often[i], counts[often[i]]]).astype(np.uint32).tobytes()
+    def add(self, hashes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Takes hashes; yields (buckets, counts) to tell whenever enough have come."""
+        self.held.append((hashes & self.mask).astype(np.uint32))
+        self.size += len(hashes)
+        if self.size >= FLUSH:
+            yield from self.rest()
 
+    def rest(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        if self.size:
+            bucket, count = np.unique(np.concatenate(self.held), return_counts=True)
+            self.held, self.size = [], 0
+            seed = np.uint64(xxhash.xxh3_64_intdigest(bucket.tobytes() + count.tobytes()))
+            often = (count >= STEP) | ((mix(bucket.astype(np.uint64) ^ seed) & np.uint64(STEP - 1)).astype(np.int64) < count)
+            if often.any():
+                yield bucket[often].astype(np.int64), np.maximum(count[often], STEP).astype(np.int64)
 
-def bitmap(told_rows: DataFrame, width: int, least: int) -> np.ndarray:
-    """The bitmap from rows (range, payload)."""
-    size = width // RANGES
 
-    def merge(key, part):
-        r = key[0].as_py()
-        total = np.zeros(size, np.int64)
-        for p in part.column("payload").to_pylist():
-            bucket, n = np.frombuffer(p, np.uint32).reshape(2, -1)
-            np.add.at(total, bucket.astype(np.int64) - r * size, n)
-        return pa.table({"range": pa.array([r], pa.int32()), "bits": pa.array([np.packbits(total > least).tobytes()], pa.binary())})
-
-    out = np.zeros(width // 8, np.uint8)
-    for r in told_rows.groupBy("range").applyInArrow(merge, "range int, bits binary").collect():  # width / 8 bytes in all
-        out[r["range"] * (size // 8) : (r["range"] + 1) * (size // 8)] = np.frombuffer(r["bits"], np.uint8)
-    return out
+def bitmap(told: DataFrame, width: int, least: int) -> np.ndarray:
+    """The bitmap from rows (bucket, times)."""
+    hot = told.groupBy("bucket").agg(F.sum("times").alias("times")).where(F.col("times") > least)
+    words = hot.groupBy(F.shiftright("bucket", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(bucket & 63 AS INT))")).alias("bits")).toArrow()  # width / 64 rows at most
+    out = np.zeros(width // 64, np.int64)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    return out.view(np.uint64)
 
 
 def is_hot(hashes: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    b = hashes & np.uint64(len(bits) * 8 - 1)
-    return (bits[(b >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (b & np.uint64(7)).astype(np.uint8))) & 1 == 1
+    b = hashes & np.uint64(len(bits) * 64 - 1)
+    return (bits[(b >> np.uint64(6)).astype(np.int64)] >> (b & np.uint64(63))) & np.uint64(1) == 1
