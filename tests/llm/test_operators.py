@@ -190,24 +190,59 @@ def shingles(text, k=5):
 def items(spark):
     rng = dict(edge.texts())
     a = " ".join(rng[6].split()[70:110])
-    rows = [(1, a), (2, "TWO Words"), (3, None), (4, ""), (5, a.upper()), (6, " ".join(rng[14].split()[100:140]) + " and a tail"), (7, "not to be found in any of these texts at all")]
+    rows = [(1, a), (2, "TWO Words"), (3, None), (4, ""), (5, a.upper()), (6, " ".join(rng[14].split()[100:140]) + " and a tail"), (7, "not to be found in any of these texts at all"), (None, a), (8, "occurs\tnowhere"), (9, "tie"), (10, "line stands in several")]
     return rows, spark.createDataFrame(rows, "item_id long, text string")
 
 
-@pytest.mark.parametrize("block", [2_000_000, 30])
-def test_decontamination(spark, block):
-    rows, bench = items(spark)
+def runs(text, k):
+    w = [bytes(x).lower() for x in edge.word_list(text)]
+    return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}
+
+
+def leaks(docs, bench):
     want = []
-    for d, t in ROWS:
-        for i, x in rows:
-            own, s = shingles(x), shingles(t)
-            if own and 100 * len(own & s) >= 75 * len(own):
-                want.append((d, i, len(own), len(own & s)))
-    assert want and got(decontaminate.contained(edge.docs(spark), bench, block_words=block)) == sorted(want, key=str)
-    left = decontaminate.without_leaks(edge.docs(spark), bench)
-    assert {r["doc_id"] for r in left.collect()} == {d for d, _ in ROWS} - {d for d, *_ in want if d is not None}
-    assert decontaminate.contained(edge.empty(spark), bench).count() == 0
-    assert decontaminate.contained(edge.docs(spark), bench.limit(0)).count() == 0
+    for i, x in bench:
+        k = min(5, len(edge.word_list(x)))
+        own = runs(x, k) if k else set()
+        for d, t in docs if own else ():
+            both = len(own & runs(t, k))
+            if 100 * both >= 75 * len(own):
+                want.append((d, i, len(own), both))
+    return sorted(want, key=str)
+
+
+@pytest.mark.parametrize(("block", "permutations"), [(2_000_000, 32), (30, 32), (2_000_000, None)])
+def test_decontamination(spark, block, permutations):
+    rows, bench = items(spark)
+    want = leaks(ROWS, rows)
+    assert {i for _, i, *_ in want} == {1, 2, 5, 6, None, 9, 10}
+    assert got(decontaminate.contained(edge.docs(spark), bench, block_words=block, permutations=permutations)) == want
+    if block > 30 and permutations:
+        left = decontaminate.without_leaks(edge.docs(spark), bench)
+        assert {r["doc_id"] for r in left.collect()} == {d for d, _ in ROWS} - {d for d, *_ in want if d is not None}
+        assert decontaminate.contained(edge.empty(spark), bench).count() == 0
+        assert decontaminate.contained(edge.docs(spark), bench.limit(0)).count() == 0
+        named = bench.select(F.concat(F.lit("item "), "item_id").alias("item_id"), "text")
+        assert got(decontaminate.contained(edge.docs(spark), named)) == sorted(((d, i if i is None else f"item {i}", *x) for d, i, *x in want), key=str)
+
+
+def test_minhash_recall_at_the_threshold():
+    """Items of all sizes of which just enough is left, in long documents: what the signatures find of what an exact search finds."""
+    rng = random.Random(3)
+    word = lambda: f"{rng.randrange(10**5):05d}".encode()
+    items, docs = [], []
+    for i in range(300):
+        words = [word() for _ in range(rng.choice([5, 6, 8, 12, 20, 40, 90, 200]))]
+        items.append((i, b" ".join(words)))
+        n = max(1, len(words) - 4)
+        cut = n - -(-3 * n // 4)  # so many shingles may be missing
+        kept = words[:-cut] if cut else words
+        docs.append([word() for _ in range(rng.randrange(2000))] + kept + [word() for _ in range(rng.randrange(2000))])
+    quick, exact = decontaminate.Index(items, 5, 0.75), decontaminate.Index(items, 5, 0.75, None)
+    want = [sorted(exact.search(d)) for d in docs]
+    assert all(i in {x[0] for x in w} for i, w in enumerate(want))
+    assert len({p.least for p in quick.partitions}) > 1 and [sorted(quick.search(d)) for d in docs] == want
+    assert decontaminate.least_hits(0.75, 32, 1e-9) > 5 and decontaminate.least_hits(1.0, 32, 1e-9) == 32
 
 
 # ---- 5 mixing
