@@ -68,6 +68,37 @@ def test_substring_dedup_in_many_small_shards(spark):
     assert got(out) == removed_words(ROWS)
 
 
+def test_substring_dedup_compares_words(spark):
+    """Texts that differ in words of equal 32-bit hashes share no window."""
+    rng = random.Random(1)
+    rows = []
+    for i in range(6):
+        words = [f"x{rng.randrange(10**6)}" for _ in range(49)]
+        at = rng.randrange(50)
+        rows += [(2 * i + j, " ".join([*words[:at], w, *words[at:]])) for j, w in enumerate(("q14145", "q21754"))]
+    out = substring_dedup.digest(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert got(out) == removed_words(rows) and not any(r["n_removed"] for r in out.collect())
+
+
+def test_passage_in_every_document(spark):
+    rng = random.Random(2)
+    passage = " ".join(f"p{i}" for i in range(80))
+    rows = [(i, " ".join([*(f"a{rng.randrange(10**6)}" for _ in range(rng.randrange(40))), passage, *(f"b{rng.randrange(10**6)}" for _ in range(rng.randrange(40)))])) for i in range(600)]
+    assert got(substring_dedup.digest(spark.createDataFrame(rows, "doc_id long, text string").repartition(16))) == removed_words(rows)
+
+
+def test_bit_vector_and_least_of():
+    rng = np.random.default_rng(0)
+    for n in (1, 63, 64, 70_000):
+        bit = rng.random(n) < 0.3
+        i = rng.integers(0, n + 1, 200)
+        assert fm_index.BitVector(bit).rank(i).tolist() == [int(bit[:k].sum()) for k in i]
+        v = rng.integers(0, 1000, n).astype(np.int32)
+        lo = rng.integers(0, n, 300)
+        hi = np.minimum(n, lo + 1 + rng.integers(0, rng.choice([3, 40, n]), 300))
+        assert fm_index.LeastOf(v).query(lo, hi).tolist() == [int(v[a:b].min()) for a, b in zip(lo, hi, strict=True)]
+
+
 @settings(max_examples=30, deadline=None)
 @given(st.lists(st.lists(st.integers(1, 3), min_size=5, max_size=25), min_size=1, max_size=8), st.integers(3, 5))
 def test_matching_finds_all_windows(texts, w):

@@ -1,6 +1,8 @@
 """A compressed full-text index over words: BWT in a wavelet matrix, searched backward.
 
-All searches of a batch advance together, one word a step, so the inner loops are numpy's.
+All searches of a batch advance together, one word a step, so the inner loops are numpy's. The text itself is not kept: a
+shard is its bit vectors with a rank directory of a quarter of their size, and the least owners of its
+suffixes in five numbers each.
 """
 
 from __future__ import annotations
@@ -8,31 +10,87 @@ from __future__ import annotations
 import numpy as np
 
 
+class BitVector:
+    """Bits in 64-bit words; ranks from a running count every SUPER words and 16-bit counts between."""
+
+    SUPER = 512
+
+    def __init__(self, bit: np.ndarray):
+        packed = np.packbits(bit, bitorder="little")
+        self.words = np.zeros(len(bit) // 64 + 1, np.uint64)
+        self.words.view(np.uint8)[: len(packed)] = packed
+        run = np.concatenate([[0], np.cumsum(np.bitwise_count(self.words).astype(np.int64))])
+        self.above = run[:: self.SUPER].copy()
+        self.within = (run[:-1] - np.repeat(self.above, self.SUPER)[: len(self.words)]).astype(np.uint16)
+        self.ones = int(run[-1])
+
+    def rank(self, i: np.ndarray) -> np.ndarray:
+        """Ones before position i."""
+        w = i >> 6
+        below = self.words[w] & ((np.uint64(1) << (i & 63).astype(np.uint64)) - np.uint64(1))
+        return self.above[w // self.SUPER] + self.within[w] + np.bitwise_count(below)
+
+
+class LeastOf:
+    """Least value of ranges: least of every 8 neighbours, and a table of powers of two over blocks of 16 (about as many numbers as values)."""
+
+    BLOCK = 16
+
+    def __init__(self, values: np.ndarray):
+        self.near = [values]
+        for step in (1, 2, 4):
+            v = self.near[-1]
+            self.near.append(np.minimum(v[:-step], v[step:]) if len(v) > step else v[:0])
+        full = len(values) // self.BLOCK
+        self.far = [values[: full * self.BLOCK].reshape(full, self.BLOCK).min(1)]
+        step = 1
+        while 2 * step <= full:
+            self.far.append(np.minimum(self.far[-1][:-step], self.far[-1][step:]))
+            step *= 2
+
+    @staticmethod
+    def _cover(rows: list[np.ndarray], lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        level = np.minimum(np.frexp((hi - lo).astype(np.float64))[1] - 1, len(rows) - 1)
+        out = np.empty(len(lo), rows[0].dtype)
+        for j in np.unique(level).tolist():
+            at = level == j
+            out[at] = np.minimum(rows[j][lo[at]], rows[j][hi[at] - (1 << j)])
+        return out
+
+    def query(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Of ranges that are not empty."""
+        wide = hi - lo > self.BLOCK
+        out = np.empty(len(lo), self.near[0].dtype)
+        out[~wide] = self._cover(self.near, lo[~wide], hi[~wide])
+        if wide.any():
+            a, b = lo[wide], hi[wide]
+            ends = np.minimum(self._cover(self.near, a, a + self.BLOCK), self._cover(self.near, b - self.BLOCK, b))
+            first, stop = -(-a // self.BLOCK), b // self.BLOCK
+            inner = stop > first
+            ends[inner] = np.minimum(ends[inner], self._cover(self.far, first[inner], stop[inner]))
+            out[wide] = ends
+        return out
+
+
 class WaveletMatrix:
-    """Ranks of symbols, one bit vector a level: 64-bit words and a running count each."""
+    """Ranks of symbols, one bit vector a level."""
 
     def __init__(self, x: np.ndarray, levels: int):
-        self.levels, self.bits, self.counts, self.zeros = levels, [], [], []
+        self.levels, self.bits = levels, []
         x = x.astype(np.int64)
         for level in range(levels - 1, -1, -1):
             bit = ((x >> level) & 1).astype(bool)
-            packed = np.packbits(bit, bitorder="little")
-            words = np.zeros(len(x) // 64 + 1, np.uint64)
-            words.view(np.uint8)[: len(packed)] = packed
-            ones = np.bitwise_count(words).astype(np.int64)
-            self.bits.append(words)
-            self.counts.append(np.concatenate([[0], np.cumsum(ones)[:-1]]))
-            self.zeros.append(int(len(x) - ones.sum()))
+            self.bits.append(BitVector(bit))
             x = np.concatenate([x[~bit], x[bit]])
+        self.n = len(x)
         symbols = np.arange(1 << levels)
         self.first = self.down(symbols, np.zeros(len(symbols), np.int64))
 
     def down(self, symbol: np.ndarray, i: np.ndarray) -> np.ndarray:
-        for level, (words, counts, zeros) in enumerate(zip(self.bits, self.counts, self.zeros, strict=True)):
-            w, off = i >> 6, (i & 63).astype(np.uint64)
-            ones = counts[w] + np.bitwise_count(words[w] & ((np.uint64(1) << off) - np.uint64(1)))
+        for level, bits in enumerate(self.bits):
+            ones = bits.rank(i)
             one = (symbol >> (self.levels - 1 - level)) & 1
-            i = np.where(one == 1, zeros + ones, i - ones)
+            i = np.where(one == 1, self.n - bits.ones + ones, i - ones)
         return i
 
     def rank(self, symbol: np.ndarray, i: np.ndarray) -> np.ndarray:
@@ -67,13 +125,7 @@ class FMIndex:
         self.before = np.concatenate([[0], np.cumsum(np.bincount(symbols, minlength=top))])
         self.tree = WaveletMatrix(symbols[order - 1], max(1, top.bit_length()))
         self.n = len(symbols)
-        least = owners[order].astype(np.int32)
-        self.least = [least]
-        step = 1
-        while 2 * step <= self.n:
-            least = np.minimum(least[:-step], least[step:])
-            self.least.append(least)
-            step *= 2
+        self.least = LeastOf(owners[order].astype(np.int32))
 
     def step(self, symbol: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The interval after one more word to the left."""
@@ -82,21 +134,12 @@ class FMIndex:
         start = self.before[symbol]
         return start + both[:m], start + both[m:]
 
-    def least_owner(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        """The least owner in each interval that is not empty."""
-        level = np.frexp((hi - lo).astype(np.float64))[1] - 1
-        out = np.empty(len(lo), np.int32)
-        for j in np.unique(level).tolist():
-            at = level == j
-            row = self.least[j]
-            out[at] = np.minimum(row[lo[at]], row[hi[at] - (1 << j)])
-        return out
-
 
 def matched_windows(index: FMIndex, symbols: np.ndarray, offset: np.ndarray, length: np.ndarray, owner: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     """(query, window start) of matches that cover every word that a matching window covers.
 
-    A window matches if an owner smaller than the query's holds it. From a window's end
+    The matching statistic of a position is the length of the longest match that ends there, and is found by searching left from it.
+    It is evaluated up to ``window``, and only where it can reach that: A window matches if an owner smaller than the query's holds it. From a window's end
     the search goes left until its interval has no smaller owner. Where it stops short, at f, no window
     that starts at f or before and holds that end can match, so the next one tried
     starts behind f. After a match the next window tried is one that adjoins it, or the last; if that fails,
@@ -114,7 +157,7 @@ def matched_windows(index: FMIndex, symbols: np.ndarray, offset: np.ndarray, len
     while len(q):
         lo, hi = index.step(symbols[offset[q] + pos], lo, hi)
         alive = hi > lo
-        alive[alive] = index.least_owner(lo[alive], hi[alive]) < owner[q[alive]]
+        alive[alive] = index.least.query(lo[alive], hi[alive]) < owner[q[alive]]
         hit = alive & (pos == cur)
         miss = ~alive
         again = hit | miss

@@ -4,21 +4,21 @@ Repeated windows of ``window`` words are found whatever their place in the corpu
 comparing every document with every shard:
 
 1. The anchor of a window is the least of its eight-word hashes, in (hot, hash) order (see
-   ``hot``). Equal windows have equal anchors. Anchors of two documents or more are
-   found by blocks of hashes.
+   ``hot``). Equal windows have equal anchors. Anchors of two documents or more are found by least and greatest
+   document of each, combined before the shuffle.
 2. Windows that follow each other in a document and share such an anchor make a region. Regions are
    shuffled by anchor, so all places where a window may repeat are in one shard.
-   Equal texts are drawn together before, so that a passage of many documents travels once a task.
+   Equal texts are drawn together before, so that a passage of many documents travels once a task. A window has a hot anchor only
+   if all its parts are frequent, so the regions of a hot anchor are few different texts, in however many documents.
 3. A shard is a run of anchors of about ``shard_words`` words. Its distinct region texts, each
    owned by the least doc_id that holds it, form an FM-index (BWT in a wavelet
    matrix). They stream past it by backward search; an interval counts while it has an owner smaller than the
-   searching one. A match of ``window`` words or more is reported.
+   searching one. Matching statistics are evaluated where they can reach ``window``; a match of that length or more is reported.
 4. The reports go back to all regions of that text: the owner's get the matches, a
-   later document's region is reported whole. A document's intervals are joined to it and their words removed.
+   later document's region, being an equal text, is reported whole. A document's intervals are joined to it and their words removed.
 
-An anchor with more text than a
+Regions are compared by their words, not by hashes; texts are drawn together by 128 bits of hash. An anchor with more text than a
 shard holds is indexed in several parts, and its regions stream past each.
-Words are compared by 32 bits of their hash, a window by fifty of these.
 
 Cases: null and empty texts have no words; documents shorter than a window keep all;
 repeats within one document, or between rows of one doc_id, are no repeats; a row without
@@ -38,13 +38,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hot as hot_sketch
-from .common import block_count, blocks_of, grams, hash_words, numpy_of, signed, slices, split_by_block, total_bytes, written
+from .common import gather, grams, hash_words, numpy_of, signed, slices, total_bytes, written
 from .fm_index import FMIndex, matched_windows
 
 WINDOW = 50
 GRAM = 8
-SHARD_WORDS = 1 << 19
-PAIR = np.dtype([("h", "<u8"), ("doc", "<i8")])
+SHARD_WORDS, BYTES_A_WORD = 1 << 19, 6
 
 
 def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -67,44 +66,27 @@ def window_anchors(h: np.ndarray, hot: np.ndarray, window: int) -> np.ndarray:
 
 
 def _sketch(batches, width: int) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros(width, np.uint32)
+    tally = hot_sketch.Tally(width)
+
+    def row(bucket, times):
+        return pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(times)], names=["bucket", "times"])
+
     for _, texts in slices(batches):
         # all texts of a slice as one: repeats in a text and grams across two texts only touch the order
-        hot_sketch.count(counts, grams(hash_words(b" ".join(texts).split()), GRAM))
-    told = list(hot_sketch.told(counts))
-    if told:
-        yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in told], pa.int32()), pa.array([p for _, p in told], pa.binary())], names=["range", "payload"])
+        for told in tally.add(grams(hash_words(b" ".join(texts).split()), GRAM)):
+            yield row(*told)
+    for told in tally.rest():
+        yield row(*told)
 
 
-def _anchors(batches, hot: np.ndarray, window: int, n_blocks: int) -> Iterator[pa.RecordBatch]:
+def _anchors(batches, hot: np.ndarray, window: int) -> Iterator[pa.RecordBatch]:
     for batch, texts in slices(batches):
-        found = []
-        for doc, t in zip(batch.column("doc_id").to_pylist(), texts, strict=True):
-            a = np.unique(window_anchors(hash_words(t.split()), hot, window))
-            if len(a):
-                e = np.empty(len(a), PAIR)
-                e["h"], e["doc"] = a, doc
-                found.append(e)
-        if found:
-            e = np.concatenate(found)
-            block, payload = [], []
-            # the top bit is the hot one and would fill half the blocks only
-            for b, i in split_by_block(blocks_of(e["h"] << np.uint64(1), n_blocks)):
-                block.append(b)
-                payload.append(e[i].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(block, pa.int32()), pa.array(payload, pa.binary())], names=["block", "payload"])
-
-
-def _repeated_anchors(part):
-    """(doc_id, h) of the anchors of a block that two documents or more have."""
-    e = np.concatenate([np.frombuffer(p, PAIR) for p in part.column("payload").to_pylist()])
-    e = e[np.lexsort((e["doc"], e["h"]))]
-    if len(e) > 1:
-        e = e[np.concatenate([[True], (e["h"][1:] != e["h"][:-1]) | (e["doc"][1:] != e["doc"][:-1])])]
-    starts = np.flatnonzero(np.concatenate([[True], e["h"][1:] != e["h"][:-1]])) if len(e) else np.empty(0, int)
-    size = np.diff(np.append(starts, len(e)))
-    e = e[np.repeat(size, size) > 1]
-    return pa.table({"doc_id": np.ascontiguousarray(e["doc"]), "h": signed(np.ascontiguousarray(e["h"]))})
+        ids, found, ends = batch.column("doc_id").to_pylist(), [np.empty(0, np.uint64)], [0]
+        for t in texts:
+            found.append(np.unique(window_anchors(hash_words(t.split()), hot, window)))
+            ends.append(ends[-1] + len(found[-1]))
+        hs = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(signed(np.concatenate(found))))
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), hs], names=["doc_id", "hs"])
 
 
 OPENED = "kind int, doc_id long, tid long, n_words long, kept_sha256 string, kept_text string, text string, h long, start int, content binary, chash long"
@@ -139,25 +121,22 @@ def _open(batches, hot: np.ndarray, window: int, texts: bool) -> Iterator[pa.Rec
                 sha, kept = _digest(words, texts)
                 rows.append((0, doc, None, len(words), sha, kept, None, None, None, None, None))
                 continue
-            tid, short = _text_id(t), h.astype(np.uint32)
+            tid = _text_id(t)
             rows.append((1, doc, tid, len(words), None, None, t.decode("utf-8", "replace"), None, None, None, None))
             for x, y in runs:
-                content = short[x : y + window - 1].tobytes()
+                content = b" ".join(words[x : y + window - 1])
                 rows.append((2, doc, tid, y - x + window - 1, None, None, None, int(a[x].astype(np.int64)), x, content, _text_id(content)))
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _TYPES, strict=True)], names=_NAMES)
 
 
-def _gather(values: np.ndarray, offset: np.ndarray, length: np.ndarray) -> np.ndarray:
-    ends = np.cumsum(length)
-    return values[np.repeat(offset - (ends - length), length) + np.arange(int(ends[-1]) if len(ends) else 0)]
-
-
 def match_regions(h: np.ndarray, doc: np.ndarray, content: list[bytes], window: int, shard_words: int) -> tuple[np.ndarray, np.ndarray]:
     """(text, window start): matches of distinct texts, in order of their anchors h, with texts of smaller owners."""
-    length = np.array([len(c) // 4 for c in content], np.int64)
+    texts = [c.split() for c in content]
+    length = np.array([len(t) for t in texts], np.int64)
     offset = np.cumsum(length) - length
-    _, symbols = np.unique(np.frombuffer(b"".join(content), np.uint32), return_inverse=True)
-    symbols = symbols.astype(np.int64)
+    number: dict[bytes, int] = {}
+    symbols = np.fromiter((number.setdefault(w, len(number)) for t in texts for w in t), np.int64, int(length.sum()))
+    del texts, number
     _, owner = np.unique(doc, return_inverse=True)
     found = [(np.empty(0, int), np.empty(0, int))]
     for first, stop in _shards(h, length, shard_words):
@@ -165,12 +144,12 @@ def match_regions(h: np.ndarray, doc: np.ndarray, content: list[bytes], window:
         queries = np.flatnonzero((h >= h[first]) & (h <= h[stop - 1]))  # all of the shard's anchors, parts of which may lie in other shards
         if len(queries) < 2:
             continue
-        used = np.unique(_gather(symbols, offset[queries], length[queries]))
+        used = np.unique(gather(symbols, offset[queries], length[queries]))
         dense = np.minimum(np.searchsorted(used, symbols) + 1, len(used))
         text = np.zeros(int(length[of].sum()) + len(of), np.int64)
         at = np.cumsum(length[of] + 1) - length[of] - 1
         inside = np.arange(int(length[of].sum())) - np.repeat(np.cumsum(length[of]) - length[of], length[of])
-        text[np.repeat(at, length[of]) + inside] = _gather(dense, offset[of], length[of])
+        text[np.repeat(at, length[of]) + inside] = gather(dense, offset[of], length[of])
         index = FMIndex(text, np.repeat(owner[of], length[of] + 1), 2 * window)
         q, w = matched_windows(index, dense, offset[queries], length[queries], owner[queries], window)
         found.append((queries[q], w))
@@ -203,18 +182,20 @@ def _matched(batches, window: int, shard_words: int) -> Iterator[pa.RecordBatch]
         at = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(w[order], pa.int32()))
         return pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(chash, pa.int64()), pa.array(doc, pa.int64()), at], names=["h", "chash", "owner", "at"])
 
-    held, words = [], 0
+    held, size = [], 0
     for batch in batches:
-        held.append(batch.select(names))
-        words += batch.column("content").nbytes // 4
-        if words >= shard_words:
-            table = pa.Table.from_batches(held)
-            h = numpy_of(table, "h")
-            last = int(np.searchsorted(h, h[-1], "left"))
-            if last:
-                yield told(table.slice(0, last))
-                held = table.slice(last).to_batches()
-                words = table.slice(last).column("content").nbytes // 4
+        h = numpy_of(batch, "h")
+        start = 0
+        if size >= BYTES_A_WORD * shard_words and len(h):  # a shard ends where its last anchor does
+            last = held[-1].column("h")[-1].as_py()
+            start = int(np.searchsorted(h, last, "right"))
+            if start < len(h):
+                yield told(pa.Table.from_batches([*held, batch.slice(0, start).select(names)]))
+                held, size = [], 0
+            else:
+                start = 0
+        held.append(batch.slice(start).select(names))
+        size += held[-1].column("content").nbytes
     if held:
         yield told(pa.Table.from_batches(held))
 
@@ -238,16 +219,12 @@ def _opened(docs: DataFrame, window: int, texts: bool) -> DataFrame:
     spark = docs.sparkSession
     size = total_bytes(docs)
     width = hot_sketch.width_for(size)
-    told = docs.mapInArrow(lambda it: _sketch(it, width), "range int, payload binary")
+    told = docs.mapInArrow(lambda it: _sketch(it, width), "bucket long, times long")
     hot = spark.sparkContext.broadcast(hot_sketch.bitmap(told, width, hot_sketch.threshold(size // 5, width)))  # width / 8 bytes
-    n_blocks = block_count(size // 120, 1 << 20)
-    marked = (
-        docs.where("doc_id is not null")
-        .mapInArrow(lambda it: _anchors(it, hot.value, window, n_blocks), "block int, payload binary")
-        .groupBy("block")
-        .applyInArrow(_repeated_anchors, "doc_id long, h long")
-    )
-    marked = marked.groupBy(F.col("doc_id").alias("m_id")).agg(F.collect_list("h").alias("hs"))  # one text's anchors at most
+    anchors = written(docs.where("doc_id is not null").mapInArrow(lambda it: _anchors(it, hot.value, window), "doc_id long, hs array<long>"), "anchors")
+    pairs = anchors.select("doc_id", F.explode("hs").alias("h"))
+    repeated = pairs.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("h")
+    marked = pairs.join(repeated, "h", "left_semi").groupBy(F.col("doc_id").alias("m_id")).agg(F.collect_list("h").alias("hs"))  # one text's anchors at most
     joined = docs.join(marked, F.col("doc_id") == F.col("m_id"), "left").select("doc_id", "text", "hs")
     return written(joined.mapInArrow(lambda it: _open(it, hot.value, window, texts), OPENED), "opened", "kind")
 
