@@ -3,7 +3,9 @@
 One dictionary is trained on toxic text, one on ordinary text. Both are appended to the same
 base of ordinary text, so that what is common compresses alike, and a window's two compressed lengths differ
 by what only one dictionary knows. Toxic documents are ordinary text for the most
-part; the toxic dictionary is therefore trained on their telling stretches: bytes covered by
+part: dictionaries trained on whole texts of each class tell them apart no better than an area under the curve of 0.66 on held-out labels (0.57
+after three rounds of training on the windows that the round before gained most on). The
+toxic dictionary is therefore trained on their telling stretches: bytes covered by
 pieces that are several times as frequent among toxic documents as among ordinary ones (PIECES: length, how many
 times, and the least share of toxic documents that hold one).
 
@@ -26,7 +28,6 @@ table gives an empty result; other columns are left out.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -52,26 +53,44 @@ def _spaced(text: bytes) -> bytes:
     return b" " + b" ".join(text.lower().split()) + b" "
 
 
-def _pieces(spaced: bytes, size: int) -> set[bytes]:
-    return {spaced[i : i + size] for i in range(len(spaced) - size + 1)}
+def _pieces(spaced: bytes, size: int) -> np.ndarray:
+    """The pieces of size 4 or 8 of a text, as numbers, in order."""
+    raw = np.frombuffer(spaced, np.uint8)
+    if len(raw) < size:
+        return np.empty(0, np.uint64)
+    return np.lib.stride_tricks.sliding_window_view(raw, size).copy().view(f"<u{size}")[:, 0].astype(np.uint64)
+
+
+def _tally(texts: list[bytes], size: int, most: int = 1 << 22) -> tuple[np.ndarray, np.ndarray]:
+    """(piece, how many texts hold it), summed whenever ``most`` pieces have come."""
+    value, count, held, n = np.empty(0, np.uint64), np.empty(0, np.int64), [], 0
+    for i, t in enumerate(texts):
+        held.append(np.unique(_pieces(t, size)))
+        n += len(held[-1])
+        if n >= most or i == len(texts) - 1:
+            both = np.concatenate([value, *held])
+            times = np.concatenate([count, np.ones(n, np.int64)])
+            value, where = np.unique(both, return_inverse=True)
+            count, held, n = np.bincount(where, times, len(value)).astype(np.int64), [], 0
+    return value, count
 
 
 def _telling(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
     """Of each toxic text the stretches that telling pieces cover."""
-    marks = [bytearray(len(t)) for t in toxic]
+    cover = [np.zeros(len(t), bool) for t in toxic]
     for size, times, share in PIECES:
-        t_in, o_in = Counter(), Counter()
-        for t in toxic:
-            t_in.update(_pieces(t, size))
-        for t in ordinary:
-            o_in.update(_pieces(t, size) & t_in.keys())
-        least = max(4, share * len(toxic))
-        found = {g for g, c in t_in.items() if c >= least and c / len(toxic) >= times * (o_in[g] + 0.5) / (len(ordinary) + 1)}
-        for t, mark in zip(toxic, marks, strict=True):
-            for i in range(len(t) - size + 1):
-                if t[i : i + size] in found:
-                    mark[i : i + size] = b"\1" * size
-    return [bytes(c for c, k in zip(t, mark, strict=True) if k) for t, mark in zip(toxic, marks, strict=True)]
+        value, count = _tally(toxic, size)
+        value, count = value[often := count >= max(4, share * len(toxic))], count[often]
+        common = np.zeros(len(value), np.int64)
+        for t in ordinary if len(value) else ():
+            own = np.unique(_pieces(t, size))
+            at = np.minimum(np.searchsorted(value, own), len(value) - 1)
+            common[at[value[at] == own]] += 1
+        value = value[count / len(toxic) >= times * (common + 0.5) / (len(ordinary) + 1)]
+        for t, mark in zip(toxic, cover, strict=True):
+            for i in np.flatnonzero(np.isin(_pieces(t, size), value)).tolist():
+                mark[i : i + size] = True
+    return [np.frombuffer(t, np.uint8)[mark].tobytes() for t, mark in zip(toxic, cover, strict=True)]
 
 
 def _trained(samples: list[bytes], size: int, **kw) -> bytes:
