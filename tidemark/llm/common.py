@@ -13,7 +13,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
-from ..sources.tables import shared_dir, written  # noqa: F401
+from ..sources.tables import scratch, shared_dir, written  # noqa: F401
 
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"

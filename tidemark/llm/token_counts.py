@@ -12,7 +12,7 @@ binary search. A token that crosses a boundary goes
 Sections here are lines: a line has the line feed that ends it. The vocabulary's file is a
 parameter; it is read on the executors, never copied.
 
-Cases: a null text is empty; an empty text has no section and no token; repeated rows are
+Cases: white space of any length is encoded as by the pattern; a null text is empty; an empty text has no section and no token; repeated rows are
 counted each; other columns are left out; an empty table gives an empty result.
 """
 
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import re
 from collections.abc import Callable
 
 import numpy as np
@@ -48,10 +49,26 @@ def encoding(path: str, pattern: str = PATTERN):
     return tiktoken.Encoding("corpus", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), lengths
 
 
+#: White space in long runs, on which the tokenizer's pattern would run out of stack.
+RUN = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{1000,}")
+
+
+def token_ids(text: str, enc) -> np.ndarray:
+    """The tokens of a text. A long run of white space is a piece by the pattern, but for its last character if more text follows; it is merged by itself."""
+    parts, at = [np.empty(0, np.int64)], 0
+    for run in RUN.finditer(text):
+        stop = run.end() - (run.end() < len(text))
+        parts += [np.asarray(enc.encode_to_numpy(text[at : run.start()]), np.int64), np.asarray(enc._encode_single_piece(text[run.start() : stop].encode()), np.int64)]
+        at = stop
+    if at < len(text):
+        parts.append(np.asarray(enc.encode_to_numpy(text[at:]), np.int64))
+    return np.concatenate(parts)
+
+
 def token_ends(text: str, path: str) -> np.ndarray:
     """The byte offset at which each token of a text ends."""
     enc, lengths = encoding(path)
-    return np.cumsum(lengths[np.asarray(enc.encode_to_numpy(text), np.int64)]) if text else np.empty(0, np.int64)
+    return np.cumsum(lengths[token_ids(text, enc)])
 
 
 def line_ends(text: bytes) -> np.ndarray:
