@@ -1,11 +1,16 @@
-"""A corpus pipeline of five stages; each reads what the one before it has written."""
+"""A corpus pipeline of five stages; each reads what the one before it has written.
+
+The stages keep the columns of their input; the last adds ``shard`` and ``slot``. Rows without a text go at the first stage, which keeps only what
+the quality rules accept. Rows without a doc_id link with nothing and leak nothing. Of rows that repeat, the second stage keeps one; the mix may
+then take a row up to three times. An empty table passes all stages.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import decontaminate, mixing, ngram_join, quality_rules, resharding
-from tidemark.llm.common import table, written
+from tidemark.llm.common import scratch, table, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,7 +30,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return resharding.digest(docs)
+    return resharding.placed(docs)
 
 
 STAGES = [
@@ -43,5 +48,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name)
+        with scratch(spark) as keep:  # what a stage wrote on its way goes when its result is written
+            docs = keep(written(stage(spark, docs, sf_dir), name))
     return docs
