@@ -9,8 +9,9 @@ bad documents get as well count for nothing.
 
 There are at most 3^len(RULES) vote patterns, however many documents; their counts are all that
 the driver sees, and the fitted model goes back as a linear expression of the votes.
-The rates have a prior of a hundredth of the documents, and a good vote never counts against a document nor a bad
-vote for it.
+The rates have a prior of a hundredth of the documents. The model is a monotone one: in each round, the log odds that a good vote adds are cut
+off at 0 from below and those of a bad vote from above, before documents are judged with them, so a good vote never counts against a document nor a bad
+one for it. The posterior is that of the model so constrained, not of free rates.
 
 The counts follow the contract of op2: n_words, word_chars, n_symbols, n_dup_lines (lines with a word
 equal to an earlier one), n_repeat_words (words in 8-word windows found at least twice). ``base_failed``
@@ -73,7 +74,7 @@ def rules() -> dict[str, Column]:
     c = F.col
     n = F.greatest(c("n_words"), F.lit(1))
     return {
-        "length": _vote(c("n_words") < 20, c("n_words") >= 40),
+        "length": F.when(c("n_words") >= 40, 1).otherwise(0),  # too short a text has failed before
         "word_length": _vote((c("word_chars") < 2 * n) | (c("word_chars") > 14 * n), c("word_chars").between(3 * n, 11 * n)),
         "symbols": _vote(c("n_symbols") * 10 > n, c("n_symbols") * 100 <= n),
         "lines": _vote(c("n_dup_lines") * 10 > 3 * c("n_lines"), (c("n_lines") >= 2) & (c("n_dup_lines") * 20 <= c("n_lines"))),

