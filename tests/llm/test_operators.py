@@ -452,9 +452,16 @@ def test_line_dedup(spark):
         lines = line_dedup.lines_of((t or "").encode())
         exact = [i for i, x in lines if d is not None and first[x] != (d, i)]
         near = [i for i, x in lines if d is not None and first[x] == (d, i) and any(first[y] < first[x] for y in close[x])]
-        want.append((d, len(lines), exact, near))
+        at = dict(lines)
+        want.append((d, len(lines), exact, near, [first[at[i]][0] for i in exact]))
     assert any(w[3] for w in want)
-    assert got(line_dedup.repeated_lines(edge.docs(spark))) == sorted(want, key=str)
+    rows = line_dedup.repeated_lines(edge.docs(spark))
+    assert got(rows.drop("near_of")) == sorted(want, key=str)
+    texts = dict(r for r in ROWS if r[0] is not None)
+    for r in rows.where("size(near) > 0").collect():
+        for i, of in zip(r["near"], r["near_of"], strict=True):
+            mine = dict(line_dedup.lines_of(texts[r["doc_id"]].encode()))[i]
+            assert any(first[y][0] == of and first[y] < first[mine] for y in close[mine])
     assert line_dedup.repeated_lines(edge.empty(spark)).count() == 0
     once = {r["doc_id"]: r["text"] for r in line_dedup.without_repeated_lines(edge.docs(spark).where("doc_id in (4, 5)")).collect()}
     assert len(once[5].split("\n")) == 1 and len(once[4].split("\n")) == 2
