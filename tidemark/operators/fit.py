@@ -1,7 +1,7 @@
 """Standardisation and principal components, fitted on a subset of rows and applied to all.
 
-Moments are one aggregation for all fits at once; a fit is a few numbers per feature, so the eigenproblems of the
-(few) fits are solved on the driver, and go back as a table of arrays that is broadcast.
+Moments are one aggregation for all fits at once, a fit being a series up to a cutoff; the eigenproblems are solved on
+the executors, a row for each fit, and rows meet the fits of their own series.
 """
 
 from __future__ import annotations
@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,33 +34,38 @@ def standardised(rows: DataFrame, names: Sequence[str], params: DataFrame) -> Da
 
 
 def principal_axes(cov: np.ndarray, p: int) -> np.ndarray:
-    """Leading axes in rows; of each, the largest loading is positive."""
+    """Leading axes in rows; of each, the largest loading (the first of equal ones) is positive."""
     e, u = np.linalg.eigh(cov)
     axes = u[:, ::-1].T[:p]
-    return axes * np.sign(axes[np.arange(len(axes)), np.abs(axes).argmax(1)])[:, None]
+    lead = np.abs(axes).round(9).argmax(1)
+    return axes * np.sign(axes[np.arange(len(axes)), lead])[:, None]
 
 
-def fitted(rows: DataFrame, names: Sequence[str], keys: Sequence[str] = ("crisis",), p: int = 8) -> DataFrame:
-    """(keys, mean, scale, axes) of each fit; one small row each."""
-    spark, f = rows.sparkSession, len(names)
+def fitted(rows: DataFrame, names: Sequence[str], keys: Sequence[str] = ("crisis", "series_id"), p: int = 8) -> DataFrame:
+    """(keys, mean, scale, axes) of each fit; the eigenproblems are solved where the moments are."""
+    f = len(names)
     upper = np.triu_indices(f)
-    out = []
-    for r in moments(rows, names, keys).collect():  # a row for each fit
-        mean = np.array([r[f"mean_{a}"] for a in names])
-        cov = np.zeros((f, f))
-        cov[upper] = [r[f"cov_{i}"] for i in range(len(upper[0]))]
-        cov = cov + np.triu(cov, 1).T
-        scale = np.sqrt(np.diag(cov))
-        scale[scale == 0] = 1.0
-        axes = principal_axes(cov / np.outer(scale, scale), min(p, f))
-        out.append((*[r[k] for k in keys], mean.tolist(), scale.tolist(), axes.tolist()))
+
+    def solve(batches):
+        for pdf in batches:
+            out = []
+            for r in pdf.to_dict("records"):
+                mean = np.array([r[f"mean_{a}"] for a in names])
+                cov = np.zeros((f, f))
+                cov[upper] = [r[f"cov_{i}"] for i in range(len(upper[0]))]
+                cov = cov + np.triu(cov, 1).T
+                scale = np.sqrt(np.diag(cov))
+                scale[scale == 0] = 1.0
+                out.append((*[r[k] for k in keys], mean.tolist(), scale.tolist(), principal_axes(cov / np.outer(scale, scale), min(p, f)).tolist()))
+            yield pd.DataFrame(out, columns=[*keys, "mean", "scale", "axes"])
+
     types = dict(rows.select(*keys).dtypes)
-    return spark.createDataFrame(out, ", ".join([*[f"{k} {types[k]}" for k in keys], "mean array<double>", "scale array<double>", "axes array<array<double>>"]))
+    return moments(rows, names, keys).mapInPandas(solve, ", ".join([*[f"{k} {types[k]}" for k in keys], "mean array<double>", "scale array<double>", "axes array<array<double>>"]))
 
 
 def embedded(features: DataFrame, names: Sequence[str], params: DataFrame, keep: Sequence[str] = ("series_id", "ts", "pos")) -> DataFrame:
-    """Rows under every fit, as unit vectors x of principal scores."""
-    rows = features.select(*keep, F.array(*names).alias("v")).join(F.broadcast(params))
+    """Rows under every fit of their series, as unit vectors x of principal scores."""
+    rows = features.select(*keep, F.array(*names).alias("v")).join(params, "series_id")
     z = F.zip_with(F.zip_with("v", "mean", lambda a, b: a - b), "scale", lambda a, b: a / b)
     dot = lambda u, w: F.aggregate(F.zip_with(u, w, lambda a, b: a * b), F.lit(0.0), lambda s, t: s + t)
     rows = rows.withColumn("z", z).withColumn("y", F.transform("axes", lambda a: dot(F.col("z"), a)))
@@ -68,15 +74,21 @@ def embedded(features: DataFrame, names: Sequence[str], params: DataFrame, keep:
 
 
 def divergence(left: DataFrame, right: DataFrame, names: Sequence[str]) -> DataFrame:
-    """How far two fits differ: per feature relative mean and scale gaps, per axis |cosine|. Both have one row."""
-    j = left.select(*[F.col(c).alias(f"l_{c}") for c in ("mean", "scale", "axes")]).crossJoin(F.broadcast(right.select("mean", "scale", "axes")))  # one row each
+    """How far two fits of one series differ: per feature relative mean and scale gaps, per axis |cosine|."""
+    j = left.select("series_id", *[F.col(c).alias(f"l_{c}") for c in ("mean", "scale", "axes")]).join(right.select("series_id", "mean", "scale", "axes"), "series_id")
     rel = lambda a, b: F.abs(b - a) / F.greatest(F.abs(a), F.lit(1e-12))
     dot = lambda u, w: F.aggregate(F.zip_with(u, w, lambda a, b: a * b), F.lit(0.0), lambda s, t: s + t)
     parts = {"mean_rel": F.zip_with("l_mean", "mean", rel), "scale_rel": F.zip_with("l_scale", "scale", rel), "axis_cos": F.zip_with("l_axes", "axes", lambda a, b: F.abs(dot(a, b)) / F.sqrt(dot(a, a) * dot(b, b)))}
-    rows = [j.select(F.lit(n).alias("measure"), F.posexplode(c).alias("i", "value")) for n, c in parts.items()]
+    rows = [j.select("series_id", F.lit(n).alias("measure"), F.posexplode(c).alias("i", "value")) for n, c in parts.items()]
     out = rows[0].unionByName(rows[1]).unionByName(rows[2])
     label = F.when(F.col("measure") == "axis_cos", F.concat(F.lit("axis "), F.col("i").cast("string"))).otherwise(F.get(F.array(*[F.lit(n) for n in names]), F.col("i")))
-    return out.select("measure", label.alias("item"), "value")
+    return out.select("series_id", "measure", label.alias("item"), "value")
+
+
+def divergence_summary(gaps: DataFrame, above: float = 0.10) -> DataFrame:
+    """Largest, middle and mean value of each measure, and how many of its items differ by more than ``above``."""
+    gap = F.when(F.col("measure") == "axis_cos", 1 - F.col("value")).otherwise(F.col("value"))
+    return gaps.groupBy("series_id", "measure").agg(F.max("value").alias("largest"), F.median("value").alias("middle"), F.avg("value").alias("mean"), F.sum((gap > above).cast("int")).alias("over"))
 
 
 def row_cosines(left: DataFrame, right: DataFrame) -> DataFrame:
