@@ -83,6 +83,7 @@ def mix_sources(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: in
     run = Window.partitionBy("b_source").orderBy("b_bin").rowsBetween(Window.unboundedPreceding, -1)  # BINS rows
     per_bin = per_bin.withColumn("ahead", F.coalesce(F.sum("b_words").over(run), F.lit(0)))
     cutting = per_bin.where((F.col("b_rest") > 0) & (F.col("ahead") <= F.col("b_rest")) & (F.col("ahead") + F.col("b_words") > F.col("b_rest"))).select(F.col("b_source").alias("c_source"), F.col("b_bin").alias("cut"), "ahead")
+    cutting = written(cutting, "cutting")  # a row a source: of known size, so the planner can tell whether to broadcast it
     rows = rows.join(cutting, F.col("source").eqNullSafe(F.col("c_source")), "left").drop("c_source")
     rows = rows.withColumn("cut", F.coalesce("cut", F.lit(BINS + 1)))
     clear = rows.where((F.col("bin") != F.col("cut")) | (F.col("p") == 0)).withColumn("more", (F.col("p") > 0) & (F.col("bin") < F.col("cut")) & (F.col("rest") > 0))
