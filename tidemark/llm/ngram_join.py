@@ -167,6 +167,7 @@ def linked_rows(base: np.ndarray, rows: list[np.ndarray], share: int, columns: i
 def _linked(docs: DataFrame, pairs: DataFrame, reps: DataFrame, k: int, share: int) -> DataFrame:
     """Those of pairs(a, b) that link, by whole rows. Rows ``b`` travel to blocks of at most GROUP partners of an ``a``."""
     sized = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("c")).select("a", F.ceil(F.col("c") / GROUP).cast("int").alias("salts"))
+    sized = written(sized, "sized")  # of known size for the planner, and a join of its own, which can split a hub with many partners
     salted = pairs.join(sized, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int"))
     go = salted.select(F.col("b").alias("sig"), "a", "salt", F.lit(False).alias("own"))
     own = sized.select(F.col("a").alias("sig"), "a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(True).alias("own"))
