@@ -16,6 +16,16 @@ def test_entry_without_corpus_operators(tmp_path):
     assert said.returncode == 0, said.stderr
 
 
+def test_a_missing_dependency_is_not_hidden(tmp_path):
+    shutil.copytree(ROOT / "tidemark", tmp_path / "tidemark", ignore=shutil.ignore_patterns("__pycache__"))
+    shutil.copy(ROOT / "__spark_entry__.py", tmp_path)
+    if not (tmp_path / "tidemark" / "llm").exists():
+        return
+    code = "import sys; sys.modules['zstandard'] = None; import __spark_entry__"
+    said = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True)
+    assert said.returncode != 0 and "zstandard" in said.stderr
+
+
 def test_nothing_else_imports_them():
     for p in (ROOT / "tidemark").rglob("*.py"):
         if "llm" not in p.parts:
