@@ -63,7 +63,9 @@ def templates(urls: DataFrame) -> DataFrame:
             return done
         cur = cur.withColumn("seg", F.get("segments", F.lit(level - 1)))
         branch = cur.groupBy("host", "template", "seg").agg(*[F.sum(c).alias(f"v_{c}") for c in ("n", "labelled", "bad")])
+        branch = written(branch, f"branches{level}")
         node = branch.groupBy("host", "template").agg(F.count(F.lit(1)).alias("values"), *[F.sum(f"v_{c}").alias(f"p_{c}") for c in ("n", "labelled", "bad")])
+        node = written(node, f"nodes{level}")  # a table of its own, so that the branches of a large node can be split in the join
         both = branch.join(node, ["host", "template"])
         other, pooled = F.col("p_labelled") - F.col("v_labelled"), F.col("p_bad") / F.greatest(F.col("p_labelled"), F.lit(1))
         error = F.sqrt(pooled * (1 - pooled) * (1 / F.greatest(F.col("v_labelled"), F.lit(1)) + 1 / F.greatest(other, F.lit(1))))
