@@ -474,6 +474,23 @@ def test_edit_automaton(pairs, k):
     assert line_dedup.within(list(a), list(b), k).tolist() == [edits(x, y) <= k for x, y in pairs]
 
 
+def test_pairs_verified_together():
+    rng = random.Random(8)
+    pairs = []
+    for n in (1, 9, 40, 130, 300, 620):
+        for _ in range(20):
+            x = "".join(rng.choice("abcde é𝄞") for _ in range(n))
+            y = list(x)
+            for _ in range(rng.randint(0, max(1, n // 14))):
+                y[rng.randrange(n)] = rng.choice(["", "z", "ab"])
+            pairs.append((x, "".join(y) or "a"))
+    left, right = map(list, zip(*pairs, strict=True))
+    true = np.array([edits(x, y) for x, y in pairs])
+    for shift in (-1, 0, 2, 9):
+        most = np.maximum(true + shift, 0)
+        assert (line_dedup._near(left, right, most) == (true <= most)).all()
+
+
 def test_line_dedup_threshold_grows_with_the_line(spark):
     rng = random.Random(5)
     word = lambda: "".join(rng.choice("abcdefghijklmno") for _ in range(rng.randint(2, 8)))
