@@ -530,6 +530,90 @@ def test_close_is_edit_distance(a, b, k):
     assert line_dedup.close(a, b, k) == (edits(a, b) <= k)
 
 
+def spread_changes():
+    """Lines of 60 to 900 characters and copies with up to 5 % of edits and some more, dealt evenly, so that no long run stays whole."""
+    rng = random.Random(11)
+    out = []
+    for n in (60, 80, 119, 120, 121, 139, 140, 160, 200, 260, 431, 900):
+        for _ in range(2):
+            x = "".join(rng.choice("abcdefgh é𝄞") for _ in range(n - 2))
+            out.append(x := f"<{x}>")
+            for k in (n * 5 // 100 - 1, n * 5 // 100, n * 5 // 100 + 1):
+                for kind in ("z", "", "mixed"):
+                    y = list(x)
+                    for i in range(k):
+                        at = (i + 1) * n // (k + 1)
+                        y[at] = y[at] + "z" if kind == "mixed" and i % 2 else "" if kind == "mixed" else kind
+                    out.append("".join(y))
+    out = list(dict.fromkeys(out))
+    rng.shuffle(out)
+    return out
+
+
+def near_lines(lines):
+    """Every link (i, j) with j < i, by each pair."""
+    rule = line_dedup.NEAR
+    return {(i, j) for i, x in enumerate(lines) for j, y in enumerate(lines[:i]) if abs(len(x) - len(y)) <= (k := int(rule.allowed(min(len(x), len(y))))) and line_dedup.close(x, y, k)}
+
+
+def least_reached(n, pairs):
+    root = list(range(n))
+    for _ in range(n):
+        before = list(root)
+        for i, j in pairs:
+            root[i] = root[j] = min(root[i], root[j])
+        if before == root:
+            return root
+    return root
+
+
+def test_line_dedup_finds_every_pair(spark):
+    lines = spread_changes()
+    every = near_lines(lines)
+    assert any(not {lines[i][p : p + 40] for p in range(len(lines[i]) - 39)} & {lines[j][p : p + 40] for p in range(len(lines[j]) - 39)} for i, j in every if min(len(lines[i]), len(lines[j])) >= 120)
+    docs = spark.createDataFrame([*enumerate(lines), (len(lines), "no\n\n" + lines[0])], "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in line_dedup.repeated_lines(docs, line_dedup.NEAR, classes=True).collect()}
+    assert {d for d, r in rows.items() if r["near"]} == {i for i, _ in every}
+    assert all((d, of) in every for d, r in rows.items() for of in r["near_of"])
+    root = least_reached(len(lines), every)
+    assert any(root[i] not in {j for k, j in every if k == i} for i, _ in every)
+    assert all([tuple(x) for x in rows[d]["class_of"]] == ([(0, root[d], 0)] if root[d] != d else []) for d in range(len(lines)))
+    assert [tuple(x) for x in rows[len(lines)]["class_of"]] == [(2, root[0], 0)] and rows[len(lines)]["exact"] == [2]
+
+
+def test_line_dedup_in_small_parts(monkeypatch):
+    """The index, the lines looked up, the pairs that meet and the pairs verified in many parts: the same lines go, in the same classes."""
+    lines = spread_changes()
+    every = near_lines(lines)
+    for name, value in (("INDEX", 1500), ("PROBE", 700), ("PIECE", 50), ("HELD", 20), ("_PART", 500)):
+        monkeypatch.setattr(line_dedup, name, value)
+    found = set()
+    bounds, reach, _ = line_dedup.cells(line_dedup.NEAR)
+    for c in range(len(reach)):
+        there = [i for i, x in enumerate(lines) if bounds[c] <= len(x) <= reach[c]]
+        if there:
+            payloads = [line_dedup._payload([lines[i].encode() for i in p], [len(lines[i]) for i in p], [(i, 0) for i in p]) for p in (there[::2], there[1::2], there[:1]) if p]
+            for b in line_dedup._cell_links(c, iter(payloads), line_dedup.NEAR):
+                found |= {(x["doc_id"], y["doc_id"]) for x, y in zip(b.column("a").to_pylist(), b.column("b").to_pylist(), strict=True)}
+    assert found <= every and {i for i, _ in found} == {i for i, _ in every}
+    assert least_reached(len(lines), found) == least_reached(len(lines), every)
+
+
+def test_line_dedup_of_many_near_copies_tells_few_links():
+    rng = random.Random(3)
+    base = [rng.choice("abcdefghijk ") for _ in range(300)]
+    lines = []
+    for i in range(400):
+        y = list(base)
+        for _ in range(3):
+            y[rng.randrange(300)] = rng.choice("xyz")
+        lines.append(f"({''.join(y)})")
+    lines = list(dict.fromkeys(lines))
+    c = int(np.searchsorted(line_dedup.cells(line_dedup.NEAR)[0], len(lines[0]), "right")) - 1
+    got = [b.num_rows for b in line_dedup._cell_links(c, iter([line_dedup._payload([x.encode() for x in lines], [302] * len(lines), [(i, 0) for i in range(len(lines))])]), line_dedup.NEAR)]
+    assert len(lines) - 1 <= sum(got) < 2 * len(lines)
+
+
 # ---- 7 toxicity
 
 
