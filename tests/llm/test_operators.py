@@ -567,7 +567,9 @@ def least_reached(n, pairs):
     return root
 
 
-def test_line_dedup_finds_every_pair(spark):
+@pytest.mark.parametrize("gathered", [line_dedup.GATHERED, 0])
+def test_line_dedup_finds_every_pair(spark, monkeypatch, gathered):
+    monkeypatch.setattr(line_dedup, "GATHERED", gathered)
     lines = spread_changes()
     every = near_lines(lines)
     assert any(not {lines[i][p : p + 40] for p in range(len(lines[i]) - 39)} & {lines[j][p : p + 40] for p in range(len(lines[j]) - 39)} for i, j in every if min(len(lines[i]), len(lines[j])) >= 120)
