@@ -616,6 +616,46 @@ def test_line_dedup_of_many_near_copies_tells_few_links():
     assert len(lines) - 1 <= sum(got) < 2 * len(lines)
 
 
+def repeating_lines():
+    """Lines of a beginning of their own, some near to another's, and a phrase over and over."""
+    rng = random.Random(6)
+    lines = []
+    for i in range(24):
+        head = "".join(rng.choice("abcdefg ") for _ in range(rng.randint(20, 400))) if i % 3 else lines[-1][: rng.randint(10, 200)] if lines else "a"
+        lines.append((head + " Is onhe." * 300)[: rng.randint(2720, 2900)].strip())
+    return lines
+
+
+def test_line_dedup_of_repeated_phrases_meets_by_phrases():
+    """Lines that repeat a phrase meet once for each beginning of a segment in common, not for all pairs of its places."""
+    lines, rule = [x.encode() for x in repeating_lines()], line_dedup.NEAR
+    index = line_dedup._Index(np.arange(len(lines)), lines, rule, int(line_dedup.cells(rule)[2][np.searchsorted(line_dedup.cells(rule)[0], 2720, "right") - 1]))
+    met = sum(len(x) for x, _ in line_dedup._met(index, line_dedup._Coded(lines)))
+    assert 0 < met < 60 * len(lines) ** 2
+
+
+def test_line_dedup_of_repeated_phrases_finds_every_pair(spark):
+    lines = repeating_lines()
+    every = near_lines(lines)
+    assert 10 < len(every) < len(lines) * (len(lines) - 1) / 2
+    rows = line_dedup.repeated_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"), line_dedup.NEAR, classes=True).collect()
+    root = least_reached(len(lines), every)
+    assert {r["doc_id"] for r in rows if r["near"]} == {i for i, _ in every}
+    assert all([tuple(x) for x in r["class_of"]] == ([(0, root[r["doc_id"]], 0)] if root[r["doc_id"]] != r["doc_id"] else []) for r in rows)
+
+
+@pytest.mark.parametrize("k", [31, 32, 63, 64, 95, 96, 150])
+def test_bands_of_several_words(k):
+    rng = random.Random(k)
+    lines = [x + "".join(rng.choice("abé𝄞") for _ in range(rng.randint(0, k // 2))) for x in repeating_lines()[:9]]
+    lines += ["".join(rng.choice("abé𝄞") for _ in range(k + i)) for i in range(3)]
+    pairs = [(x, y) for x in lines for y in lines]
+    left, right = map(list, zip(*pairs, strict=True))
+    most = np.array([k - i % 2 * rng.randint(0, k) for i in range(len(pairs))])
+    true = [line_dedup.close(x, y, int(m)) for (x, y), m in zip(pairs, most, strict=True)]
+    assert line_dedup._banded(left, right, most).tolist() == true and 0 < sum(true) < len(pairs)
+
+
 # ---- 7 toxicity
 
 
